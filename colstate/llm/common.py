@@ -97,6 +97,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ranges of an id -----------------------------------------------------------------------------
+
+
+def cuts_of(rows: DataFrame, column: str, ranges: int, most: int = 20_000) -> list[int]:
+    """Ids that cut the rows into about ``ranges`` ranges of equal counts (``most`` at most)."""
+    n = max(1, min(most, int(ranges)))
+    if n == 1:
+        return []
+    at = F.percentile_approx(column, [i / n for i in range(1, n)], max(10_000, 4 * n))
+    return sorted(set(rows.agg(at.alias("c")).first()["c"] or []))
+
+
+def range_of(column: str, cuts: list[int]):
+    """How many of the cuts are at most the id, -1 for null; the cuts are searched in two steps."""
+    if not cuts:
+        return F.when(F.col(column).isNull(), -1).otherwise(0)
+    g = int(np.ceil(np.sqrt(len(cuts))))
+    groups = [cuts[i : i + g] for i in range(0, len(cuts), g)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    up_to = lambda a: F.size(F.filter(a, lambda c: c <= F.col(column)))
+    group = up_to(longs([x[0] for x in groups]))
+    inside = (group - 1) * g + up_to(F.element_at(F.array(*map(longs, groups)), group))
+    return F.when(F.col(column).isNull(), -1).when(group == 0, 0).otherwise(inside)
+
+
 # 64-bit mixing -------------------------------------------------------------------------------
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
