@@ -71,7 +71,7 @@ def commit_bytes(uri: str, *parts: bytes) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temp) as out:
+    with fs.open_output_stream(temp, compression=None) as out:
         for part in parts:
             out.write(part)
     fs.move(temp, path)
@@ -79,7 +79,7 @@ def commit_bytes(uri: str, *parts: bytes) -> None:
 
 def read_bytes(uri: str) -> bytes:
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 

@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colstate.llm import common, op1_token_counts, op10_fingerprints, tokenizer
+from colstate.llm import (
+    common,
+    op1_token_counts,
+    op2_line_dedup,
+    op3_mixing,
+    op6_warc,
+    op7_decontamination,
+    op8_token_store,
+    op10_fingerprints,
+    tokenizer,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,13 +29,48 @@ def op1_token_counts_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_counts.count_tokens(docs, definition(), common.work_dir(spark, "op1") + "/cache")
 
 
+def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_line_dedup.digests(op2_line_dedup.deduplicate(common.table(spark, sf_dir, "documents")))
+
+
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of three quarters of the corpus's tokens: the documents taken, a row for each epoch."""
+    docs = common.table(spark, sf_dir, "documents")
+    mixed = op3_mixing.mix(docs, op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.75)
+    return mixed.select("doc_id", "lang", "source", "mix_epoch", op3_mixing.tokens_of().alias("n_tokens"))
+
+
+def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_warc.written_pages(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "op6") + "/warc")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_decontamination.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_store_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = common.work_dir(spark, "op8") + "/store"
+    op8_token_store.write_store(common.table(spark, sf_dir, "documents"), definition(), root)
+    return op8_token_store.read_store(spark, root)
+
+
 def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fingerprints.edited_likeness(common.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_token_counts": op1_token_counts_,
+    "op2_line_hashing": op2_line_hashing,
+    "op3_mixture": op3_mixture,
+    "op6_warc_writer": op6_warc_writer,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_token_store": op8_token_store_,
     "op10_lz_fingerprints": op10_lz_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL gives the kept digest of WARC payloads without archives, the units and windows without hashing.
+ORACLES: dict[str, str] = {
+    "op2_line_hashing": op2_line_dedup.ORACLE,
+    "op6_warc_writer": op6_warc.ORACLE,
+    "op7_benchmark_decontamination": op7_decontamination.ORACLE,
+}
