@@ -97,17 +97,20 @@ def mix(
     tokens: Column | None = None,
     class_bits: int = 12,
 ) -> DataFrame:
-    """The rows of ``docs (doc_id, text, lang, source, ...)`` in the mixture, with ``mix_leaf, mix_epoch`` added.
+    """The rows of ``docs (doc_id, text, lang, source, ...)`` in the mixture, with ``mix_leaf, mix_epoch`` added (or replaced, if there).
 
     ``total``: tokens, or as a float their share of all tokens of the tree. ``domains``: source -> domain.
     """
     spark = docs.sparkSession
     leaves = sorted(p for p in weights if len(p) == 3)
     names = {"\x1f".join(p): p for p in leaves}
-    rows = docs.withColumn("mix_leaf", _leaf(domains))
+    own_columns = [c for c in docs.columns if c not in ("mix_leaf", "mix_epoch")]
+    row = F.struct(*[F.col(f"`{c}`") for c in own_columns]).alias("row")
+    rows = docs.select(_leaf(domains).alias("mix_leaf"), row, F.col("doc_id"), F.col("text"))
     # a light table for the passes that follow: nothing of the text but its count and hash
     key_parts = [F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")]
-    light = rows.where(F.col("mix_leaf").isin(*names)) if names else rows.limit(0)
+    light = docs.withColumn("mix_leaf", _leaf(domains))
+    light = light.where(F.col("mix_leaf").isin(*names)) if names else light.limit(0)
     counted = light.select("mix_leaf", (tokens if tokens is not None else tokens_of()).alias("n"), *key_parts)
     counted = counted.select("mix_leaf", "n", *[order_key(seed, F.lit(e)).alias(f"k{e}") for e in range(1, epochs + 1)])
     counted = common.written(counted, common.work_dir(spark, "op3") + "/counted")
@@ -153,8 +156,8 @@ def mix(
     chosen = rows.join(rules, "mix_leaf")
     extra = order_key(seed, F.col("mix_whole") + 1) <= F.col("mix_top")
     takes = F.col("mix_whole") + F.when(extra, 1).otherwise(0)
-    chosen = chosen.withColumn("mix_takes", takes).where("mix_takes > 0")
-    return chosen.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_takes")))).drop("mix_whole", "mix_top", "mix_takes")
+    chosen = chosen.select("mix_leaf", "row", takes.alias("takes")).where("takes > 0")
+    return chosen.select("row.*", "mix_leaf", F.explode(F.sequence(F.lit(1), F.col("takes"))).alias("mix_epoch"))
 
 
 # the production tree --------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from colstate.llm import (
     op1_token_counts,
     op2_line_dedup,
     op3_mixing,
+    op4_quality,
+    op5_bagminhash,
     op6_warc,
     op7_decontamination,
     op8_token_store,
@@ -40,6 +42,17 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "mix_epoch", op3_mixing.tokens_of().alias("n_tokens"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's evidence, its site's, and the decision; fitted on at most 6000 labelled documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    judged = op4_quality.score(docs, op4_quality.fit(docs, common.table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "source", "lang", "q_document", "q_site", "q_quality", "q_toxic", "q_keep")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_bagminhash.classes(common.table(spark, sf_dir, "documents")).drop("h")
+
+
 def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_warc.written_pages(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "op6") + "/warc")
 
@@ -62,6 +75,8 @@ QUERIES = {
     "op1_token_counts": op1_token_counts_,
     "op2_line_hashing": op2_line_hashing,
     "op3_mixture": op3_mixture,
+    "op4_site_quality": op4_site_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_warc_writer": op6_warc_writer,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_store": op8_token_store_,
