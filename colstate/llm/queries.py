@@ -15,6 +15,7 @@ from colstate.llm import (
     op6_warc,
     op7_decontamination,
     op8_token_store,
+    op9_suffix_dedup,
     op10_fingerprints,
     tokenizer,
 )
@@ -67,6 +68,10 @@ def op8_token_store_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_token_store.read_store(spark, root)
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_suffix_dedup.digests(op9_suffix_dedup.deduplicate(common.table(spark, sf_dir, "documents")))
+
+
 def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fingerprints.edited_likeness(common.table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op6_warc_writer": op6_warc_writer,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_store": op8_token_store_,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_lz_fingerprints": op10_lz_fingerprints,
 }
 
