@@ -136,7 +136,8 @@ def edited_likeness(docs: DataFrame, *, slots: int = SLOTS, bytes_per_range: int
     sizes = rows.agg(F.sum(F.octet_length("text") + 64).alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not sizes["n"]:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    cuts = common.cuts_of(rows, "doc_id", -(-sizes["b"] // bytes_per_range))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs keep all cores busy
+    cuts = common.cuts_of(rows, "doc_id", max(least, -(-sizes["b"] // bytes_per_range)))
     placed = rows.withColumn("part", common.range_of("doc_id", cuts))
     # the largest id of each range: a row for each range
     tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}

@@ -93,14 +93,32 @@ def occurrences(docs_words: DataFrame, table: DataFrame, nbytes: int, broadcast_
     return found.select(*keys, start.alias("start"), F.size(x["win"]).alias("n"), x["items"].alias("items"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", common.text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+
+
+def _found(keyed: DataFrame, items: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
+    docs_words = keyed.select("doc_id", "h", words().alias("w"))
+    table, nbytes = prefixes(docs_words, windows_of(items, window), broadcast_bytes)
+    return occurrences(docs_words, table, nbytes, broadcast_bytes)
+
+
+def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` without any window, all columns as they are."""
+    hits = _found(_keyed(docs), items, window, broadcast_bytes).select("doc_id", "h").distinct()
+    hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("h").alias("hit_h"))
+    hits = common.written(hits, common.work_dir(docs.sparkSession, "op7") + "/hits")
+    hits = _small(hits, 48 * hits.count(), broadcast_bytes)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("own_doc"), F.xxhash64(common.text_of()).alias("own_h"))
+    same = F.col("own_doc").eqNullSafe(F.col("hit_doc")) & (F.col("own_h") == F.col("hit_h"))
+    return keyed.join(hits, same, "left_anti").select("row.*")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per row of ``docs (doc_id, text)``: n_words, n_hit, n_items, items_sha256, contaminated."""
-    text = docs.select("doc_id", common.text_of().alias("text"))
-    keyed = text.withColumn("h", F.xxhash64("text"))
-    docs_words = keyed.select("doc_id", "h", words().alias("w"))
-    wins = windows_of(items, window)
-    table, nbytes = prefixes(docs_words, wins, broadcast_bytes)
-    found = occurrences(docs_words, table, nbytes, broadcast_bytes)
+    keyed = _keyed(docs)
+    found = _found(keyed, items, window, broadcast_bytes)
     # a document's occurrences are bounded by its own length
     per_doc = found.groupBy("doc_id", "h").agg(
         F.collect_set(F.struct("start", "n")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")

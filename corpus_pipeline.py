@@ -1,5 +1,69 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to token files: quality, near-duplicates, benchmark passages, mixture, ids.
+
+Each stage works on all that the stage before has kept, which is written as Parquet to the shared
+folder and read again. All but the last return the columns of ``documents``; the last one writes the
+token store and returns what its files hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from colstate.llm import (
+    common,
+    op3_mixing,
+    op4_quality,
+    op5_bagminhash,
+    op7_decontamination,
+    op8_token_store,
+    queries,
+)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, together with its sites, takes for good prose that isn't toxic."""
+    model = op4_quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return op4_quality.score(docs, model).where("q_keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least doc_id."""
+    return op5_bagminhash.without_copies(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return op7_decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the tokens that are left, dealt by the production weights, each document at most twice."""
+    mixed = op3_mixing.mix(docs, op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.9, epochs=2)
+    return mixed.select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store, read back."""
+    root = common.work_dir(spark, "pipeline-tokens") + "/store"
+    op8_token_store.write_store(docs, queries.definition(), root)
+    return op8_token_store.read_store(spark, root)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("mixture", mixture),
+    ("token_ids", token_ids),
+]
+
+#: A fitted classifier, signatures and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    work = common.work_dir(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"{work}/{name}")
+    return docs

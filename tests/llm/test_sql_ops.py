@@ -84,6 +84,11 @@ def test_windows(spark, limit):
     assert (none["n_hit"], none["n_items"], none["n_words"]) == (5, 1, 5)
     assert all(not r[cols.index("contaminated")] for r in spark_rows(op7_decontamination.decontaminate(d, i.limit(0), broadcast_bytes=limit)))
     assert op7_decontamination.decontaminate(d.limit(0), i, broadcast_bytes=limit).count() == 0
+    left = op7_decontamination.clean(d.withColumnRenamed("w", "hit_h"), i, broadcast_bytes=limit)
+    assert left.columns == ["doc_id", "text", "hit_h"]
+    assert sorted(r.doc_id for r in left.collect()) == sorted(
+        r[cols.index("doc_id")] for r in got if not r[cols.index("contaminated")]
+    )
 
 
 def test_warc(spark, tmp_path):
