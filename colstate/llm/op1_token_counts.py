@@ -45,7 +45,7 @@ def fill(contents: DataFrame, cache: str, definition: str) -> str:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer.encoder(version, shared.value)
         for b in batches:
-            counts = [len(enc.ids(t)) // 4 for t in b.column("content").to_pylist()]
+            counts = list(map(len, enc.batch(b.column("content").to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts)), b.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())],
                 names=["version", "digest", "n_tokens"],

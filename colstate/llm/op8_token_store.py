@@ -203,16 +203,16 @@ def write_store(
 
     def spool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, open_ = tokenizer.encoder(version, shared.value), None, None
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for doc_id, text, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
+            doc_ids, texts, parts = (b.column(c).to_pylist() for c in ("doc_id", "text", "part"))
+            for doc_id, ids, p in zip(doc_ids, enc.batch(texts), parts):
                 if p != part or open_.size >= 2 * shard_bytes or len(open_.docs) >= 1 << 18:
                     if open_ is not None:
                         yield open_.close()
                     # shards in the order of ranges; the low bits count the rolls within one
                     open_ = _Spool(root, open_.shard + 1 if p == part else (p + 1) << 20)
                     part = p
-                open_.add(doc_id, np.frombuffer(enc.ids(text) + end, "<u4"), width, mean_chunk)
+                open_.add(doc_id, np.append(ids, np.uint32(end_id)), width, mean_chunk)
         if open_ is not None:
             yield open_.close()
 

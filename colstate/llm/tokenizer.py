@@ -1,8 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
 
 A byte-level BPE with the usual splitting pattern encodes each piece of that pattern by itself, so
-the ids of a text are those of its pieces, in order. The library encodes each piece that a worker
-hasn't met yet; texts with characters outside the blocks that the pattern below covers, or with an
+the ids of a text are those of its pieces, in order. A batch's pieces are brought down to the distinct ones, and the library encodes
+those that a worker hasn't met or has forgotten; texts with characters outside the blocks that the pattern below covers, or with an
 added token's string in them, are given to the library whole. Both ways give the same ids.
 """
 
@@ -15,6 +15,9 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 SIMPLE = "\x00-ɏ‐-‧‰-⁞€"
 #: The splitting pattern of byte-level BPE, its classes written out for SIMPLE.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0   "
@@ -24,7 +27,10 @@ _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _ODD = re.compile(f"[^{SIMPLE}]")
-_MEMO_WORDS = 300_000
+#: Entries of each of a memo's two generations, about 200 bytes each: a worker's memo takes 200 MB at most.
+_MEMO_PIECES = 500_000
+#: Characters of texts that are cut into pieces at a time.
+_BATCH_CHARS = 1 << 20
 
 
 def definition(path: str) -> str:
@@ -39,6 +45,26 @@ def version(definition_json: str) -> str:
     return hashlib.sha256(f"{tokenizers.__version__}\n{definition_json}".encode()).hexdigest()
 
 
+class Memo:
+    """A dictionary of two generations: when the new one is full, the old one is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def known(self, key: str) -> bool:
+        """Whether it is there; moved to the new generation if so."""
+        if key in self.new:
+            return True
+        if key in self.old:
+            self.new[key] = self.old[key]
+            return True
+        return False
+
+    def turn(self) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """``ids(text)``: the ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
@@ -60,25 +86,54 @@ class Encoder:
         )
         added = [t["content"] for t in shape.get("added_tokens") or ()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo: dict[str, bytes] = {}
+        self.pieces = Memo(_MEMO_PIECES)
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> bytes:
-        if not self.by_piece or _ODD.search(text) or (self.added and self.added.search(text)):
-            return self._whole(text)
-        pieces, memo = _PIECES.findall(text), self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
-        new = list({p for p in pieces if p not in memo})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            memo[p] = array("I", e.ids).tobytes()
-        return b"".join([memo[p] for p in pieces])
+        return self.batch([text])[0].tobytes()
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = []
+        while len(out) < len(texts):
+            size, end = 0, len(out)
+            while end < len(texts) and (end == len(out) or size + len(texts[end]) <= _BATCH_CHARS):
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[len(out) : end])
+        return out
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        whole: dict[int, np.ndarray] = {}
+        pieces: list[str] = []
+        ends = []
+        for i, t in enumerate(texts):
+            if not self.by_piece or _ODD.search(t) or (self.added and self.added.search(t)):
+                whole[i] = self._whole(t)
+            else:
+                pieces += _PIECES.findall(t)
+            ends.append(len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(distinct)
+        parts = [self.pieces.new[p] for p in distinct]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
+        n = size[codes]
+        until = np.cumsum(n)
+        ids = flat[np.repeat(start[codes] - (until - n), n) + np.arange(until[-1] if len(until) else 0)]
+        cut = np.append(0, until)[ends]
+        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(np.append(0, cut), cut))]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Have all pieces in the memo's new generation."""
+        self.pieces.turn()
+        new = [p for p in dict.fromkeys(pieces) if not self.pieces.known(p)]
+        if new:
+            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+                self.pieces.new[p] = array("I", e.ids).tobytes()
 
 
 _OPEN: dict[str, Encoder] = {}
