@@ -14,10 +14,10 @@ shingle multisets themselves, links are those of likeness ``least`` or more, cla
 
 Equal texts are one node from the start. Within a shared band's bucket not all pairs are made: every
 member is compared with the ``HUBS`` members that share most bands with others; a bucket of up to HUBS + 1
-is complete by that. In larger ones the members outside the first hub's component are then
-compared with all members of other components that fit by size and by a short sketch of the signature
-(which loses a pair of likeness 0.8 with a probability of about 1e-5). Pairs within a component
-need no comparison: they can't change a class. No bucket is cut off.
+is complete by that. In larger ones the members outside the first hub's component are a query set
+against all members of the bucket, in blocks of bounded bytes: a task gets the shingles of one block
+of each, counts what they share, and returns links between different components only. Pairs within a
+component need no comparison: they can't change a class. No bucket is cut off.
 
 Nodes are 64-bit hashes of whole texts: with a billion different texts the chance that any two of them
 collide is 3 %. Shingles are compared by 64-bit hashes.
@@ -137,39 +137,17 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = SLOTS // 16  # longs of 16 four-bit values
-
-
-def sketch_of(sig: np.ndarray) -> np.ndarray:
-    four = (sig >> np.uint64(60)).reshape(len(sig), SKETCH, 16)
-    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-
-
-def _differ() -> str:
-    """SQL for the slots in which the sketches x.k and y.k differ."""
-    m = 0x1111111111111111
-    one = lambda v: f"bit_count(({v} | shiftright({v}, 1) | shiftright({v}, 2) | shiftright({v}, 3)) & {m}L)"
-    # a shift draws bits of the neighbour into a place only above the mask's bit, which the mask drops
-    return " + ".join(one(f"(x.k{i} ^ y.k{i})") for i in range(SKETCH))
-
-
-#: Slots that may differ: at likeness 0.8, 36 of 192 do on average, with a deviation of 5.4.
-MOST_DIFFER = 60
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, h, times = multisets(b.column("text").to_pylist())
         n = len(b)
         size = np.bincount(doc, weights=times, minlength=n).astype(np.int64)
         sig = signatures(n, doc, h, times)
-        bands, sk = bands_of(sig), sketch_of(sig)
-        columns = [b.column("doc_id"), b.column("h"), pa.array(size), pa.array(list(bands), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(sk[:, i]) for i in range(SKETCH)], names=_SKETCH_NAMES)
+        columns = [b.column("doc_id"), b.column("h"), pa.array(size), pa.array(list(bands_of(sig)), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "bands"])
 
 
-_SKETCH_NAMES = ["doc_id", "h", "n", "bands", *[f"k{i}" for i in range(SKETCH)]]
-_SKETCH_KIND = "doc_id bigint, h bigint, n bigint, bands array<bigint>, " + ", ".join(f"k{i} bigint" for i in range(SKETCH))
+_SKETCH_KIND = "doc_id bigint, h bigint, n bigint, bands array<bigint>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +172,51 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(like, pa.float64())], names=["a", "b", "likeness"])
 
 
+#: Shingles of a block: so much and no more does a task hold of each side.
+BLOCK_BYTES = 4 << 20
+
+
+def _cross(least: float):
+    """Links between members that ask and members of other components, block by block."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        members = [(h, c, np.frombuffer(e, np.uint64)) for asks, h, c, e in rows if not asks]
+        size = np.array([len(e) for _, _, e in members])
+        all_, owner = np.concatenate([e for _, _, e in members]), np.repeat(np.arange(len(members)), size)
+        order = np.argsort(all_)
+        all_, owner = all_[order], owner[order]
+        comp = np.array([c for _, c, _ in members])
+        for asks, h, c, e in rows:
+            if not asks:
+                continue
+            e = np.frombuffer(e, np.uint64)
+            lo, hi = np.searchsorted(all_, e), np.searchsorted(all_, e, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(members))
+            near = np.nonzero((both / (size + len(e) - both) >= least) & (comp != c))[0]
+            for i in near[np.unique(comp[near], return_index=True)[1]]:  # of a component, one link is enough
+                yield h, members[i][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: list[tuple]) -> pa.RecordBatch:
+            pairs = list(links(rows)) if any(r[0] for r in rows) and not all(r[0] for r in rows) else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        rows, last = [], None
+        for b in batches:
+            for key, q, m, asks, h, c, e in zip(*(x.to_pylist() for x in b.columns)):
+                if (key, q, m) != last and rows:
+                    yield found(rows)
+                    rows = []
+                last = (key, q, m)
+                rows.append((asks, h, c, e))
+        if rows:
+            yield found(rows)
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, path: str) -> DataFrame:
     left = sets.select(F.col("h").alias("a"), F.col("e").alias("ea"))
     right = sets.select(F.col("h").alias("b"), F.col("e").alias("eb"))
@@ -256,21 +279,26 @@ def classes(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     links = _verified(stars, sets, least, f"{work}/links1")
     comp = common.written(components(links, f"{work}/comp1"), f"{work}/comp1")
 
-    # larger buckets: members outside the first hub's component, against the others
+    # larger buckets: members outside the first hub's component, against all
     placed = multi.where(F.col("c") > HUBS + 1).join(comp, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     main = hubs.where("r = 1").select("key", F.col("hub").alias("h")).join(comp, "h", "left")
-    placed = placed.join(main.select("key", F.coalesce("comp", "h").alias("main")), "key")
-    astray = placed.where("comp <> main").select("key", "h", "comp", "main").alias("s")
-    mixed = astray.select("key").distinct()
-    open_ = common.written(placed.join(mixed, "key", "left_semi").join(nodes, "h").withColumn("band", F.array_position("bands", F.col("key")).cast("int")), f"{work}/open")
-    fits = f"""x.comp <> y.comp AND (y.comp = y.main OR x.h < y.h) AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
-        AND {_differ()} <= {MOST_DIFFER}
-        AND NOT exists(zip_with(slice(x.bands, 1, x.band - 1), slice(y.bands, 1, x.band - 1), (p, q) -> p = q), e -> e)"""
-    if abs(least - 0.8) > 1e-9:  # the bounds above are those of 0.8
-        fits = f"x.comp <> y.comp AND (y.comp = y.main OR x.h < y.h) AND least(x.n, y.n) >= {least} * greatest(x.n, y.n)"
-    cross = open_.where("comp <> main").alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr(fits))
-    cross = cross.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
-    more = _verified(cross, sets, least, f"{work}/links2")
+    placed = placed.join(main.select("key", F.coalesce("comp", "h").alias("main")), "key").join(nodes.select("h", "n"), "h")
+    placed = common.written(placed.select("key", "h", "comp", (F.col("comp") != F.col("main")).alias("astray"), "n"), f"{work}/placed")
+    blocks = lambda size: F.ceil(size * 8 / BLOCK_BYTES).cast("int")
+    sizes = placed.groupBy("key").agg(
+        blocks(F.sum("n")).alias("of_all"), blocks(F.sum(F.when(F.col("astray"), F.col("n")))).alias("of_astray")
+    )
+    open_ = placed.join(sizes.where("of_astray > 0"), "key")
+    own = lambda count: F.pmod(F.xxhash64("h", F.lit(5)), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    ofall, ofastray = F.col("of_all"), F.col("of_astray")
+    asked = open_.where("astray").select("key", "h", "comp", F.lit(True).alias("asks"), own(ofastray).alias("q"), every(ofall).alias("m"))
+    members = open_.select("key", "h", "comp", F.lit(False).alias("asks"), every(ofastray).alias("q"), own(ofall).alias("m"))
+    dealt = asked.unionByName(members).join(sets, "h")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "q", "m", "asks", "h", "comp", "e").repartition(n, "key", "q", "m").sortWithinPartitions("key", "q", "m")
+    cross = dealt.mapInArrow(_cross(least), "a bigint, b bigint")
+    more = common.written(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/links2")
     if more.limit(1).count():
         # the first components stand for their links: a node and its component's root
         old = comp.where("h <> comp").select(F.col("h").alias("a"), F.col("comp").alias("b"))

@@ -67,20 +67,10 @@ def test_signatures_estimate_weighted_likeness():
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.03
 
 
-def test_sketch(spark):
-    rng = np.random.default_rng(5)
-    sig = rng.integers(0, 2**63, (2, op.SLOTS)).astype(np.uint64)
-    sig[1, :100] = sig[0, :100]
-    sk = op.sketch_of(sig)
-    want = int(((sig[0] >> np.uint64(60)) != (sig[1] >> np.uint64(60))).sum())
-    cols = [f"k{i}" for i in range(op.SKETCH)]
-    x, y = (spark.createDataFrame([[int(v) for v in s]], cols).alias(n) for s, n in zip(sk, "xy"))
-    assert x.crossJoin(y).selectExpr(f"{op._differ()} AS d").first()["d"] == want
-
-
-@pytest.mark.parametrize("hubs", [8, 1])
-def test_classes_against_all_pairs(spark, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs,block", [(8, 4 << 20), (1, 4 << 20), (1, 3000)])
+def test_classes_against_all_pairs(spark, monkeypatch, hubs, block):
     monkeypatch.setattr(op, "HUBS", hubs)
+    monkeypatch.setattr(op, "BLOCK_BYTES", block)
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, h int, comp string")
     got = {}
