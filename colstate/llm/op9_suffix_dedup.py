@@ -5,10 +5,11 @@ array over the whole corpus would have to be one piece; here it is sharded so th
 meet in the same shard:
 
 1. Each window of LENGTH bytes is known by its least hashed ``GRAM``-byte string (the leftmost of equal
-   ones); consecutive windows with the same one are a run, about 190 windows long. Equal windows have
+   ones); consecutive windows with the same one are a run, about 140 windows long. Equal windows have
    equal least strings, so only runs whose string occurs in another run can hold repeats. Just the
    hashes are shuffled to find these; copies of a whole text count once here.
-2. The bytes of those runs (at most 2 * LENGTH each) are dealt by that hash. A task takes whole groups of
+2. The bytes of those runs (less than 2 * LENGTH each) are dealt by that hash. Runs of equal bytes are
+   repeats as a whole, one of them stands for all in what follows. A task takes whole groups of
    runs together into shards of a few MB and makes a shard's suffix array by induced sorting: it
    classifies suffixes, sorts the leftmost-smaller substrings by induction, names them, sorts the
    string of names, and induces the whole array from it. All steps work on whole buckets at a time.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from colstate.llm import common
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 128
 _BLOCK = 1 << 22  # bytes that are hashed at a time; positions take 24 bits
 _P = 0x9E3779B97F4A7C15
 
@@ -341,20 +342,29 @@ def _sorted_shards(length: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(group: list[tuple]) -> pa.RecordBatch:
             out = []
-            for (h, g, p0, _), starts in zip(group, repeats([x[3] for x in group], length)):
-                out += [(h, g, p0 + s, p0 + e) for s, e in _ranges(starts)]
+            times: dict[bytes, int] = {}
+            for *_, seg in group:
+                times[seg] = times.get(seg, 0) + 1
+            starts = dict(zip(times, repeats(list(times), length)))
+            for h, g, p0, seg in group:
+                if times[seg] > 1:  # all of it comes again
+                    out.append((h, g, p0, p0 + len(seg) - length))
+                else:
+                    out += [(h, g, p0 + s, p0 + e) for s, e in _ranges(starts[seg])]
             columns = list(zip(*out)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "g", "s", "e"])
 
-        group, size, last = [], 0, None
+        group, seen, size, last = [], {}, 0, None
         for b in batches:
             for key, h, g, p0, seg in zip(*(b.column(c).to_pylist() for c in ("key", "h", "g", "p0", "seg"))):
                 if key != last and size >= shard_bytes:
                     yield work(group)
-                    group, size = [], 0
+                    group, seen, size = [], {}, 0
                 last = key
-                group.append((h, g, p0, seg))
-                size += len(seg)
+                if seg not in seen:
+                    seen[seg] = seg
+                    size += len(seg)
+                group.append((h, g, p0, seen[seg]))  # equal bytes are held once
         if group:
             yield work(group)
 
@@ -425,16 +435,14 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = 2 <
     listed = common.written(kept.groupBy("h", "g").agg(F.collect_list("r").alias("runs")), f"{work}/listed")
     listed = listed.join(texts.select("h", "g", F.col("doc_id").alias("one")), ["h", "g"])
 
-    # the exchange of texts by (h, g) is the same here and at the end, so it is made once
     of_text = rows.join(listed, ["h", "g"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
-    segments = of_text.select("doc_id", "h", "g", "text", "runs").mapInArrow(
+    segments = of_text.select("h", "g", "text", "runs").mapInArrow(
         _segments(length), "key bigint, hot boolean, h bigint, g bigint, p0 bigint, seg binary"
     )
-    # a third or so of a text's bytes are in runs: partitions by their measured size
-    size = listed.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["p1"] - r["p0"] + length)).alias("b"), F.max(F.exists("runs", lambda r: r["hot"])).alias("hot")).first()
+    segments = common.written(segments, f"{work}/segments")  # texts move twice: for this, and to be cut
+    size = segments.agg(F.sum(F.octet_length("seg")).alias("b"), F.max("hot").alias("hot")).first()
     n = max(1, -(-(size["b"] or 0) // (16 << 20)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = segments.where("NOT hot") if size["hot"] else segments
-    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
+    dealt = segments.where("NOT hot").repartition(n, "key").sortWithinPartitions("key")
     repeated = dealt.mapInArrow(_sorted_shards(length, shard_bytes), _FOUND)
     if size["hot"]:
         hot = segments.where("hot").mapInArrow(_windows(length), "a bigint, c bigint, h bigint, g bigint, s bigint")

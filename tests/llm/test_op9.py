@@ -33,7 +33,7 @@ def test_longer_array():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("abc", max_size=300).map(str.encode), max_size=5), st.integers(34, 60))
+@given(st.lists(st.text("abc", max_size=500).map(str.encode), max_size=5), st.integers(130, 160))
 def test_runs_cover_all_windows(texts, length):
     t, p0, p1, key = op.runs_of(texts, length)
     seen = sorted((int(i), p) for i, a, b in zip(t, p0, p1) for p in range(a, b + 1))
@@ -56,7 +56,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_runs": 2}, {"shard_bytes": 1000}, {"length": 50}])
+@pytest.mark.parametrize("options", [{}, {"hot_runs": 2}, {"shard_bytes": 1000}, {"length": 140}])
 def test_against_all_windows(spark, options):
     rows = corpus()
     want = op.brute_force([(t or "").encode() for _, t in rows], options.get("length", op.LENGTH))
