@@ -143,11 +143,13 @@ def edited_likeness(docs: DataFrame, *, slots: int = SLOTS, bytes_per_range: int
     tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
     after = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    to = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(after[p]))])
-    top_of = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))])
-    is_top = F.col("doc_id").eqNullSafe(top_of[F.col("part")])
+    # by range, -1 and up: the range that comes next and the largest id
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    at = F.col("part") + 1
+    to = F.get(longs([after.get(p) for p in range(-1, order[-1] + 1)]), at).cast("int")
+    is_top = F.col("doc_id").eqNullSafe(F.get(longs([tops.get(p) for p in range(-1, order[-1] + 1)]), at))
     here = F.struct(F.col("part").alias("part"), F.lit(1).alias("own"))
-    next_range = F.struct(to[F.col("part")].alias("part"), F.lit(0).alias("own"))
+    next_range = F.struct(to.alias("part"), F.lit(0).alias("own"))
     twice = placed.withColumn("to", F.explode(F.when(is_top, F.array(here, next_range)).otherwise(F.array(here))))
     dealt = twice.select("to.part", "to.own", "doc_id", "text").repartition(max(1, len(order)), "part")
     # in a range: rows from before (own = 0) first, then ascending
