@@ -186,8 +186,13 @@ def score(
     least: float = 0.5,
     most_toxic: float = 0.5,
     broadcast_bytes: int = 32 << 20,
+    with_text: bool = True,
 ) -> DataFrame:
-    """All columns of ``docs``, with ``q_document, q_site, q_quality, q_toxic, q_keep`` added (or replaced, if there)."""
+    """All columns of ``docs``, with ``q_document, q_site, q_quality, q_toxic, q_keep`` added (or replaced, if there).
+
+    Texts are read twice, for the sums by site and for the result; without ``with_text`` the result has
+    no text, each document's evidence is written instead and texts are read once.
+    """
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)  # as large as the model: shape and chosen words
@@ -200,9 +205,12 @@ def score(
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     own_columns = [c for c in docs.columns if c not in ("q_document", "q_site", "q_quality", "q_toxic", "q_keep")]
+    own_columns = [c for c in own_columns if with_text or c != "text"]
     # the input's columns travel as one, so their names can't clash with those used here
     row = F.struct(*[F.col(f"`{c}`") for c in own_columns]).alias("row")
     keyed = docs.select(row, host.alias("q_host"), path.alias("q_path"), judge(common.text_of()).alias("q_judged"))
+    if not with_text:
+        keyed = common.written(keyed, common.work_dir(spark, "op4") + "/evidence")
     # a text without words: nan from the model, null from here on
     good = F.when(~F.isnan("q_judged.good"), F.col("q_judged.good"))
 

@@ -46,7 +46,7 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's evidence, its site's, and the decision; fitted on at most 6000 labelled documents."""
     docs = common.table(spark, sf_dir, "documents")
-    judged = op4_quality.score(docs, op4_quality.fit(docs, common.table(spark, sf_dir, "labels")))
+    judged = op4_quality.score(docs, op4_quality.fit(docs, common.table(spark, sf_dir, "labels")), with_text=False)
     return judged.select("doc_id", "source", "lang", "q_document", "q_site", "q_quality", "q_toxic", "q_keep")
 
 

@@ -41,6 +41,10 @@ def test_odd_rows(spark):
             if not labels:
                 assert r.q_quality == pytest.approx(0.5) and r.q_keep
     assert op.score(docs.limit(0), model).count() == 0
+    light = op.score(docs, model, with_text=False)
+    assert "text" not in light.columns
+    cols = [c for c in light.columns if c != "text"]
+    assert sorted(map(str, light.select(cols).collect())) == sorted(map(str, op.score(docs, model).select(cols).collect()))
 
 
 def test_sites_shrink(spark):
