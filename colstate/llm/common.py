@@ -84,8 +84,8 @@ def read_bytes(uri: str) -> bytes:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of a few hundred whole texts, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Arrow batches of 128 whole texts, so that a Python worker's memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
 
 
 def text_of(column: str = "text"):

@@ -53,7 +53,7 @@ def word_hashes(text: str) -> list[int]:
     try:
         return [_WORD_HASH[w] for w in words]
     except KeyError:
-        if len(_WORD_HASH) > 200_000:
+        if len(_WORD_HASH) > 150_000:
             _WORD_HASH.clear()
         for w in words:
             if w not in _WORD_HASH:

@@ -27,8 +27,8 @@ _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _ODD = re.compile(f"[^{SIMPLE}]")
-#: Entries of each of a memo's two generations, about 200 bytes each: a worker's memo takes 200 MB at most.
-_MEMO_PIECES = 500_000
+#: Entries of each of a memo's two generations, about 200 bytes each: a worker's memo takes 80 MB at most.
+_MEMO_PIECES = 200_000
 #: Characters of texts that are cut into pieces at a time.
 _BATCH_CHARS = 1 << 20
 
