@@ -151,7 +151,7 @@ def edited_likeness(docs: DataFrame, *, slots: int = SLOTS, bytes_per_range: int
     here = F.struct(F.col("part").alias("part"), F.lit(1).alias("own"))
     next_range = F.struct(to.alias("part"), F.lit(0).alias("own"))
     twice = placed.withColumn("to", F.explode(F.when(is_top, F.array(here, next_range)).otherwise(F.array(here))))
-    dealt = twice.select("to.part", "to.own", "doc_id", "text").repartition(max(1, len(order)), "part")
+    dealt = twice.select("to.part", "to.own", "doc_id", "text").repartition(4 * len(order), "part")
     # in a range: rows from before (own = 0) first, then ascending
     dealt = dealt.sortWithinPartitions("part", "own", F.col("doc_id").asc_nulls_first(), "text")
 

@@ -129,7 +129,7 @@ def write_warc(
         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
     )
     whole = placed.select("part", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("top"), "url", "html")
-    dealt = marks.unionByName(whole).repartition(len(cuts) + 1, "part")
+    dealt = marks.unionByName(whole).repartition(4 * (len(cuts) + 1), "part")
     dealt = dealt.sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "sha1", "kind", F.col("url").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

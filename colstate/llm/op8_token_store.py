@@ -197,7 +197,7 @@ def write_store(
     ranges = common.cuts_of(rows, "doc_id", -(-total // shard_bytes))
     dealt = (
         rows.withColumn("part", common.range_of("doc_id", ranges))
-        .repartition(len(ranges) + 1, "part")
+        .repartition(4 * (len(ranges) + 1), "part")  # so that few ranges share a task
         .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     )
 
