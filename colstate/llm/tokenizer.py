@@ -1,8 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
 
 A byte-level BPE with the usual splitting pattern encodes each piece of that pattern by itself, so
-the ids of a text are those of its pieces, in order. A batch's pieces are brought down to the distinct ones, and the library encodes
-those that a worker hasn't met or has forgotten; texts with characters outside the blocks that the pattern below covers, or with an
+the ids of a text are those of its pieces, in order. The library encodes those pieces that a worker hasn't met or has
+forgotten; texts with characters outside the blocks that the pattern below covers, or with an
 added token's string in them, are given to the library whole. Both ways give the same ids.
 """
 
@@ -13,10 +13,9 @@ import json
 import os
 import re
 import unicodedata
-from array import array
+from itertools import chain, islice
 
 import numpy as np
-import pyarrow as pa
 
 SIMPLE = "\x00-ɏ‐-‧‰-⁞€"
 #: The splitting pattern of byte-level BPE, its classes written out for SIMPLE.
@@ -24,11 +23,11 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0   "
 _LETTER = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 _NUMBER = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
 _PIECES = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _ODD = re.compile(f"[^{SIMPLE}]")
-#: Entries of each of a memo's two generations, about 200 bytes each: a worker's memo takes 80 MB at most.
-_MEMO_PIECES = 200_000
+#: Pieces of a full memo, about 200 bytes each: 50 MB a worker.
+_MEMO_PIECES = 250_000
 #: Characters of texts that are cut into pieces at a time.
 _BATCH_CHARS = 1 << 20
 
@@ -45,24 +44,53 @@ def version(definition_json: str) -> str:
     return hashlib.sha256(f"{tokenizers.__version__}\n{definition_json}".encode()).hexdigest()
 
 
+class _Codes(dict):
+    """Pieces by number: asking for an unknown piece gives it the next one."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Memo:
-    """A dictionary of two generations: when the new one is full, the old one is forgotten."""
+    """The ids of pieces. When it is full, it keeps those pieces that were asked for most, more than once, since it was full last."""
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most = most
+        self._keep([], np.empty(0, np.int64), np.empty(0, "<u4"))
 
-    def known(self, key: str) -> bool:
-        """Whether it is there; moved to the new generation if so."""
-        if key in self.new:
-            return True
-        if key in self.old:
-            self.new[key] = self.old[key]
-            return True
-        return False
+    def _keep(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        self.codes, self.size, self.flat = _Codes(zip(pieces, range(len(pieces)))), size, flat
+        self.start, self.used = np.cumsum(size) - size, np.zeros(len(size), np.int64)
 
     def turn(self) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
+        """Forget pieces if there are too many of them, or long ones among them."""
+        if len(self.codes) <= self.most and len(self.flat) <= 8 * self.most:
+            return
+        often = np.nonzero((self.used > 1) & (self.size <= 16))[0]
+        kept = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.most // 2]])
+        pieces, size = list(self.codes), self.size[kept]
+        self._keep([pieces[i] for i in kept.tolist()], size, self.flat[_spans(self.start[kept], size)])
+
+    def find(self, pieces: list[str], encode) -> np.ndarray:
+        """The numbers of pieces; ``encode`` gives the ids of those that are new."""
+        self.turn()
+        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int32, len(pieces))
+        if len(self.codes) > len(self.size):
+            flat, size = encode(list(islice(self.codes, len(self.size), None)))
+            self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+            self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+            self.used = np.append(self.used, np.zeros(len(size), np.int64))
+        self.used += np.bincount(codes, minlength=len(self.used))
+        return codes
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of spans, one span after the other."""
+    if not len(size):
+        return np.empty(0, np.int64)
+    until = np.cumsum(size)
+    return np.repeat(start - (until - size), size) + np.arange(until[-1])
 
 
 class Encoder:
@@ -87,9 +115,11 @@ class Encoder:
         added = [t["content"] for t in shape.get("added_tokens") or ()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = Memo(_MEMO_PIECES)
+        feed = self._whole("\n")
+        self.feed = int(feed[0]) if len(feed) == 1 else None
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0].tobytes()
@@ -115,25 +145,29 @@ class Encoder:
             else:
                 pieces += _PIECES.findall(t)
             ends.append(len(pieces))
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(distinct)
-        parts = [self.pieces.new[p] for p in distinct]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
-        n = size[codes]
-        until = np.cumsum(n)
-        ids = flat[np.repeat(start[codes] - (until - n), n) + np.arange(until[-1] if len(until) else 0)]
-        cut = np.append(0, until)[ends]
+        codes = self.pieces.find(pieces, self._encode)
+        size = self.pieces.size[codes]
+        ids = self.pieces.flat[_spans(self.pieces.start[codes], size)]
+        cut = np.append(0, np.cumsum(size))[ends]
         return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(np.append(0, cut), cut))]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Have all pieces in the memo's new generation."""
-        self.pieces.turn()
-        new = [p for p in dict.fromkeys(pieces) if not self.pieces.known(p)]
-        if new:
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.pieces.new[p] = array("I", e.ids).tobytes()
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has. Pieces that hold no line feed
+        and aren't blank are given to the library as lines of one text: an object of its own for each is dear."""
+        lines = [i for i, p in enumerate(pieces) if p[-1] not in _SPACE]
+        out: list[np.ndarray] = [None] * len(pieces)
+        if self.feed is not None and lines:
+            ids = self._whole("\n".join([pieces[i] for i in lines]))
+            ends = np.append(np.nonzero(ids == self.feed)[0], len(ids))
+            if len(ends) == len(lines) and len(lines) == len(pieces):
+                return ids[ids != self.feed], np.diff(ends, prepend=-1) - 1
+            if len(ends) == len(lines):
+                for i, a, b in zip(lines, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
+                    out[i] = ids[a:b]
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                out[i] = self._whole(p)
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
 
 _OPEN: dict[str, Encoder] = {}
