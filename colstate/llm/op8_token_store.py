@@ -44,15 +44,27 @@ _ROLL = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)]
 def cuts(ids: np.ndarray, mean: int = 256) -> list[int]:
     """Ends of the chunks of an id stream: where the hash of the last WINDOW ids ends in zeros, the
     stream's end, and every LONGEST ids within longer stretches."""
-    n = len(ids)
+    return cuts_of_all([ids], mean)[0]
+
+
+def cuts_of_all(streams: list[np.ndarray], mean: int = 256) -> list[list[int]]:
+    """``cuts`` of each stream. They are hashed as one, with zeros between them that no window reaches across."""
+    size = np.fromiter(map(len, streams), np.int64, len(streams))
+    start = np.cumsum(size + WINDOW - 1) - size
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    g = np.concatenate([x for ids in streams for x in (pad, common.mix(ids.astype(np.uint64) + np.uint64(1)))] or [pad])
+    h = np.zeros(len(g), np.uint64)
+    for k, factor in enumerate(_ROLL):
+        h[k:] += g[: len(g) - k] * np.uint64(factor)
+    found = np.nonzero((h >> np.uint64(40)) & np.uint64(mean - 1) == 0)[0]
+    first, last = np.searchsorted(found, start).tolist(), np.searchsorted(found, start + size).tolist()
+    return [_ends((found[a:b] - s + 1).tolist(), n) for a, b, s, n in zip(first, last, start.tolist(), size.tolist())]
+
+
+def _ends(found: list[int], n: int) -> list[int]:
+    """The ends within a stream of ``n`` ids: those found, its own, and more where they are too far apart."""
     if not n:
         return []
-    g = common.mix(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(n, np.uint64)
-    for k, factor in enumerate(_ROLL):
-        if k < n:
-            h[k:] += g[: n - k] * np.uint64(factor)
-    found = (np.nonzero((h >> np.uint64(40)) & np.uint64(mean - 1) == 0)[0] + 1).tolist()
     if not found or found[-1] != n:
         found.append(n)
     out, last = [], 0
@@ -113,8 +125,8 @@ class _Spool:
         self.sequence: list[int] = []
         self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray, width: int, mean: int) -> None:
-        data, last, ends = ids.astype(f"<u{width}").tobytes(), 0, cuts(ids, mean)
+    def add(self, doc_id: int | None, ids: np.ndarray, width: int, ends: list[int]) -> None:
+        data, last = ids.astype(f"<u{width}").tobytes(), 0
         for end in ends:
             chunk = data[last * width : end * width]
             last = end
@@ -205,14 +217,15 @@ def write_store(
         enc, part, open_ = tokenizer.encoder(version, shared.value), None, None
         for b in batches:
             doc_ids, texts, parts = (b.column(c).to_pylist() for c in ("doc_id", "text", "part"))
-            for doc_id, ids, p in zip(doc_ids, enc.batch(texts), parts):
+            streams = [np.append(ids, np.uint32(end_id)) for ids in enc.batch(texts)]
+            for doc_id, ids, ends, p in zip(doc_ids, streams, cuts_of_all(streams, mean_chunk), parts):
                 if p != part or open_.size >= 2 * shard_bytes or len(open_.docs) >= 1 << 18:
                     if open_ is not None:
                         yield open_.close()
                     # shards in the order of ranges; the low bits count the rolls within one
                     open_ = _Spool(root, open_.shard + 1 if p == part else (p + 1) << 20)
                     part = p
-                open_.add(doc_id, np.append(ids, np.uint32(end_id)), width, mean_chunk)
+                open_.add(doc_id, ids, width, ends)
         if open_ is not None:
             yield open_.close()
 
