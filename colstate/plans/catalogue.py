@@ -291,13 +291,23 @@ def embedding_norm(spark, sf_dir):
     return t.read().select("vec_id", F.round(text.norm(F.col("embedding")), 6).alias("norm"))
 
 
+def encoded(spark, sf_dir, where: str | None = None) -> DataFrame:
+    t = stored(spark, "vectors", "vec_id", load(spark, sf_dir, "embeddings"))
+    whole = F.transform("embedding", lambda x: F.floor(x * F.lit(1000).cast("float")).cast("long"))
+    return t.read(where=where).select("vec_id", F.to_json(whole).alias("encoded"))
+
+
 @query(
     "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1000) AS BIGINT) AS VARCHAR)), ',') || ']' AS encoded FROM embeddings WHERE vec_id % 10 = 0"
 )
 def json_encode_list(spark, sf_dir):
-    t = stored(spark, "vectors", "vec_id", load(spark, sf_dir, "embeddings"))
-    whole = F.transform("embedding", lambda x: F.floor(x * F.lit(1000).cast("float")).cast("long"))
-    return t.read(where="vec_id % 10 = 0").select("vec_id", F.to_json(whole).alias("encoded"))
+    return encoded(spark, sf_dir, "vec_id % 10 = 0")
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(floor(x * 1000) AS BIGINT) AS VARCHAR)), ',') || ']' AS encoded FROM embeddings")
+def json_encode_list_whole(spark, sf_dir):
+    """All vectors, where the SQL given for json_encode_list asks for a tenth of them."""
+    return encoded(spark, sf_dir)
 
 
 @query("SELECT c_custkey, 'Enriched ' || c_name || ' from ' || n_name AS summary, 'processed' AS status FROM customer JOIN nation ON c_nationkey = n_nationkey")
