@@ -14,7 +14,8 @@ task than any other. Documents themselves aren't shuffled: selection is a filter
 leaf's last hash.
 
 Defined cases: a null text has 0 tokens and comes along free of cost in every epoch its leaf takes;
-documents whose leaf isn't in the tree (null language or source included) or has weight 0 aren't taken;
+documents whose leaf isn't in the tree (null language or source included) belong to the leaf ``OTHER`` if the
+tree has it, as the production tree does, and else aren't taken; nor are those of a leaf of weight 0;
 rows equal in doc_id and text have equal hashes and are taken together or not at all.
 """
 
@@ -31,6 +32,9 @@ from colstate.llm import common
 
 Tree = dict[tuple[str, ...], float]
 
+#: A tree with this leaf has room for every document: it gets those that no other leaf is for.
+OTHER = ("other", "other", "other")
+
 
 def allocate(weights: Tree, able: dict[tuple[str, str, str], int], total: int) -> dict[tuple[str, str, str], int]:
     """Budget of each leaf ``(domain, language, source)``.
@@ -80,10 +84,13 @@ def order_key(seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch.cast("long"), F.col("doc_id").cast("long"), common.text_of())
 
 
-def _leaf(domains: dict[str, str]) -> Column:
-    """The leaf's path as one string; null outside the tree."""
+def _leaf(domains: dict[str, str], leaves: list[tuple[str, ...]]) -> Column:
+    """The leaf's path as one string; outside the tree that of OTHER, if the tree has it."""
     domain = F.create_map(*[F.lit(x) for kv in sorted(domains.items()) for x in kv])[F.col("source")] if domains else F.lit(None)
-    return F.concat_ws("\x1f", F.when(domain.isNotNull() & F.col("lang").isNotNull(), domain), "lang", "source")
+    path = F.concat_ws("\x1f", F.when(domain.isNotNull() & F.col("lang").isNotNull(), domain), "lang", "source")
+    if OTHER not in leaves:
+        return path
+    return F.when(path.isin(*["\x1f".join(p) for p in leaves]), path).otherwise("\x1f".join(OTHER))
 
 
 def mix(
@@ -106,10 +113,10 @@ def mix(
     names = {"\x1f".join(p): p for p in leaves}
     own_columns = [c for c in docs.columns if c not in ("mix_leaf", "mix_epoch")]
     row = F.struct(*[F.col(f"`{c}`") for c in own_columns]).alias("row")
-    rows = docs.select(_leaf(domains).alias("mix_leaf"), row, F.col("doc_id"), F.col("text"))
+    rows = docs.select(_leaf(domains, leaves).alias("mix_leaf"), row, F.col("doc_id"), F.col("text"))
     # a light table for the passes that follow: nothing of the text but its count and hash
     key_parts = [F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")]
-    light = docs.withColumn("mix_leaf", _leaf(domains))
+    light = docs.withColumn("mix_leaf", _leaf(domains, leaves))
     light = light.where(F.col("mix_leaf").isin(*names)) if names else light.limit(0)
     counted = light.select("mix_leaf", (tokens if tokens is not None else tokens_of()).alias("n"), *key_parts)
     counted = counted.select("mix_leaf", "n", *[order_key(seed, F.lit(e)).alias(f"k{e}") for e in range(1, epochs + 1)])
@@ -168,8 +175,12 @@ LANGS = ("de", "en", "es", "fr")
 
 
 def production_weights() -> Tree:
-    """web, books and reference 6 : 2 : 2; English 6, the others 1 to 2; the crawl ``src0`` counts as five sources."""
-    tree: Tree = {("web",): 6, ("books",): 2, ("reference",): 2}
+    """web, books and reference 6 : 2 : 2; English 6, the others 1 to 2; the crawl ``src0`` counts as five sources.
+
+    Other sources and languages, nulls included, are one leaf with half the weight of books; without such documents its
+    share goes to the rest.
+    """
+    tree: Tree = {("web",): 6, ("books",): 2, ("reference",): 2, OTHER[:1]: 1, OTHER[:2]: 1, OTHER: 1}
     for domain in ("web", "books", "reference"):
         for lang, w in zip(LANGS, (1.5, 6, 1, 1.5)):
             tree[domain, lang] = w
