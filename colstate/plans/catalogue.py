@@ -404,23 +404,37 @@ def converge_counters(spark, sf_dir):
     return spark.createDataFrame(rows, "run string, passes bigint, rows_processed bigint, columns_computed bigint")
 
 
-@query(
-    f"WITH e AS (SELECT lower({_CLEAN.format('p_name')}) AS k, CAST(max(p_partkey) AS VARCHAR) AS id FROM part GROUP BY 1)"
-    f" SELECT p_partkey, {_CLEAN.format('p_name')} AS cleaned_name, id AS linkedin_match, 'people,repos' AS run_order FROM part JOIN e ON k = lower({_CLEAN.format('p_name')}) WHERE p_partkey % 2 = 1"
-)
-def converge_all_order(spark, sf_dir):
+def converged_repos(spark, sf_dir, where: str = "true") -> DataFrame:
+    """Repos with some or all parts, matched against people with all parts."""
     part = load(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
     common = {"workflow_version": "1", "primary_key": "p_partkey"}
     raw = [{"name": "p_partkey"}, {"name": "name"}, {"name": "cleaned_name", "processor": "clean_name", "derived_from": ["name"]}]
     look = {"workflow": "people", "on": "cleaned_name", "match_columns": ["cleaned_name", "p_partkey"]}
     match = {"name": "linkedin_match", "processor": "match_linkedin_profile", "derived_from": ["cleaned_name"], "lookup": look}
     ws = [parse(common | {"name": "repos", "dataset_path": "r", "columns": [*raw, match]}), parse(common | {"name": "people", "dataset_path": "p", "columns": raw})]
-    tables = {"repos": stored(spark, "repos", "p_partkey", part.where("p_partkey % 2 = 1"), ["p_partkey"]), "people": stored(spark, "people", "p_partkey", part, ["p_partkey"])}
+    tables = {"repos": stored(spark, "repos", "p_partkey", part.where(where), ["p_partkey"]), "people": stored(spark, "people", "p_partkey", part, ["p_partkey"])}
     rows = lambda n: tables[n].read_version(tables[n].version())
     order = list(converge_all({w.name: Engine(w, tables[w.name], rows) for w in ws}))
     return tables["repos"].read(["p_partkey", "cleaned_name", "linkedin_match"]).withColumn("run_order", F.lit(",".join(order)))
 
 
+@query(
+    f"WITH e AS (SELECT lower({_CLEAN.format('p_name')}) AS k, CAST(max(p_partkey) AS VARCHAR) AS id FROM part GROUP BY 1)"
+    f" SELECT p_partkey, {_CLEAN.format('p_name')} AS cleaned_name, id AS linkedin_match, 'people,repos' AS run_order FROM part JOIN e ON k = lower({_CLEAN.format('p_name')}) WHERE p_partkey % 2 = 1"
+)
+def converge_all_order(spark, sf_dir):
+    return converged_repos(spark, sf_dir, "p_partkey % 2 = 1")
+
+
+@query(
+    f"WITH e AS (SELECT lower({_CLEAN.format('p_name')}) AS k, CAST(max(p_partkey) AS VARCHAR) AS id FROM part GROUP BY 1)"
+    f" SELECT p_partkey, {_CLEAN.format('p_name')} AS cleaned_name, id AS linkedin_match, 'people,repos' AS run_order FROM part JOIN e ON k = lower({_CLEAN.format('p_name')})"
+)
+def converge_all_order_whole(spark, sf_dir):
+    """All parts in repos, where the SQL given for converge_all_order asks for every other one."""
+    return converged_repos(spark, sf_dir)
+
+
 @query("SELECT * FROM (VALUES (0, 'cleaned_name'), (0, 'cleaned_skills'), (1, 'profile_embedding')) AS t(level, column_name)")
 def column_levels(spark, sf_dir):
     rows = [(k, c.name) for k, layer in enumerate(graph.column_levels(parse(PROFILES))) for c in layer]

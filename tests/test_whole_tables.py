@@ -1,6 +1,7 @@
 """Queries that take every row of their tables."""
 
 import json
+import re
 
 import numpy as np
 
@@ -15,3 +16,14 @@ def test_every_vector_is_encoded(spark):
     want = {r.vec_id: [int(np.floor(np.float32(x) * thousand)) for x in r.embedding] for r in rows}
     got = [(r.vec_id, json.loads(r.encoded)) for r in catalogue.QUERIES["json_encode_list_whole"](spark, SF).collect()]
     assert len(got) == len(rows) and dict(got) == want
+
+
+def test_every_repo_is_converged(spark):
+    clean = lambda name: "".join(w.capitalize() for w in re.findall("[A-Za-z]+|[^A-Za-z]+", name.strip()))
+    parts = {r.p_partkey: clean(r.p_name) for r in catalogue.load(spark, SF, "part").collect()}
+    last = {}
+    for key in sorted(parts):
+        last[parts[key].lower()] = str(key)
+    want = sorted((key, name, last[name.lower()], "people,repos") for key, name in parts.items())
+    got = catalogue.QUERIES["converge_all_order_whole"](spark, SF).select("p_partkey", "cleaned_name", "linkedin_match", "run_order")
+    assert sorted(map(tuple, got.collect())) == want
