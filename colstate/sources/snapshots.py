@@ -2,7 +2,8 @@
 
 A version is a JSON file that lists the fragments and the schema; it is written to a temporary file
 and renamed to its number if that is free, so a commit is atomic and of two writers at a time one
-gets ``Conflict``. Fragments are never changed: every mutation writes new ones and commits a new list.
+gets ``Conflict``. Fragments are never changed: a mutation finds those that hold rows it is about, by a scan of the columns
+that it needs for that, writes these anew and commits a list in which the others stay as they are.
 A column that the schema has and a fragment lacks reads as NULL.
 
 Rows carry ``_seq``, their order of arrival; it identifies rows inside the engine (appends don't make
@@ -94,12 +95,28 @@ class SnapshotTable:
 
     # reading ----------------------------------------------------------------------------------
 
-    def read_version(self, v: Version) -> DataFrame:
-        """All rows of a version with ``_seq``; the version's schema pads columns that a fragment lacks."""
+    def read_version(self, v: Version, fragments: list[dict] | None = None) -> DataFrame:
+        """All rows of a version (or of some fragments of it) with ``_seq``; the version's schema pads columns that a fragment lacks."""
         full = T.StructType([*v.schema.fields, T.StructField(SEQ, T.LongType())])
-        if not v.fragments:
+        chosen = v.fragments if fragments is None else fragments
+        if not chosen:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(*[f"{self.path}/{f['path']}" for f in v.fragments])
+        return self.spark.read.schema(full).parquet(*[f"{self.path}/{f['path']}" for f in chosen])
+
+    def holding(self, v: Version, where: Column | None = None, keys: DataFrame | None = None) -> tuple[list[dict], list[dict]]:
+        """The fragments that hold rows for which ``where`` is true or whose primary key is among ``keys``, and the others.
+
+        The scan reads the columns that these need; the driver gets names of fragments, which a version lists anyway.
+        """
+        if not v.fragments:
+            return [], []
+        rows = self.read_version(v).withColumn("_file", F.col("_metadata.file_path"))
+        if where is not None:
+            rows = rows.where(where)
+        if keys is not None:
+            rows = rows.select(self.primary_key, "_file").join(keys.select(self.primary_key), self.primary_key, "left_semi")
+        found = {"/".join(r["_file"].split("/")[-3:]) for r in rows.select("_file").distinct().collect()}
+        return [f for f in v.fragments if f["path"] in found], [f for f in v.fragments if f["path"] not in found]
 
     def read(self, columns: list[str] | None = None, where: str | Column | None = None) -> DataFrame:
         """Rows of the newest version; projection and predicate reach the Parquet scan."""
@@ -201,9 +218,10 @@ class SnapshotTable:
         new, free = self._write(rows)
         return self._commit(base, schema, [*(base.fragments if base else ()), *new], free)
 
-    def _rewrite(self, base: Version | None, df: DataFrame, schema: T.StructType | None = None) -> Version:
-        """Commit ``df`` (with ``_seq``) as the whole of the next version."""
-        return self._commit(base, schema or base.schema, *self._write(df))
+    def _rewrite(self, base: Version | None, df: DataFrame | None, schema: T.StructType | None = None, beside: list[dict] = ()) -> Version:
+        """Commit ``df`` (with ``_seq``; None: no rows) and the fragments ``beside`` it as the next version."""
+        new, free = self._write(df) if df is not None else ([], 0)
+        return self._commit(base, schema or base.schema, [*beside, *new], free)
 
     def upsert(self, df: DataFrame, on_update: str = "invalidate", order_by: list | None = None) -> Version:
         """Replace rows by primary key; of equal keys in ``df`` the last counts.
@@ -220,32 +238,36 @@ class SnapshotTable:
         source = source.groupBy(pk).agg(F.max_by(F.struct(*[c for c in given if c != pk], SEQ), SEQ).alias("r")).select(pk, "r.*")
         if base is None:
             return self._rewrite(None, self._with_seq(source, schema), schema)
-        target = self.read_version(base)
+        touched, rest = self.holding(base, keys=source)
+        target = self.read_version(base, touched)
         if on_update == "invalidate":
             kept = target.join(source.select(pk), pk, "left_anti").select(*schema.names, SEQ)
-            return self._rewrite(base, kept.unionByName(self._with_seq(source, schema)))
+            return self._rewrite(base, kept.unionByName(self._with_seq(source, schema)), beside=rest)
         t, s = target.alias("t"), source.withColumn("_given", F.lit(True)).alias("s")
         both = t.join(s, F.col(f"t.{pk}") == F.col(f"s.{pk}"), "full")
         new = F.col("s._given").isNotNull()
         pick = lambda c: (F.when(new, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in given else F.col(f"t.{c}")).alias(c)
         out = both.select(*map(pick, schema.names), F.coalesce(f"t.{SEQ}", f"s.{SEQ}").alias(SEQ))
-        return self._rewrite(base, out)
+        return self._rewrite(base, out, beside=rest)
 
     def _with_seq(self, df: DataFrame, schema: T.StructType) -> DataFrame:
         return self._aligned(df, T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())]))
 
     def merge_column(self, delta: DataFrame, column: str, keep_unmatched: bool = False) -> Version:
-        """Attach or replace a column by primary key. Rows without a match get NULL, or keep their value."""
+        """Attach or replace a column by primary key; of equal keys the largest value counts. Rows without a match get NULL,
+        or keep their value: then fragments without a match aren't written."""
         base, pk = self._need(), self.primary_key
         kind = delta.schema[column].dataType
-        d = delta.groupBy(pk).agg(F.last(column).alias("_new"), F.lit(True).alias("_hit"))
-        rows = self.read_version(base).join(d, pk, "left")
+        d = delta.groupBy(pk).agg(F.max(column).alias("_new"), F.lit(True).alias("_hit"))
         had = column in base.schema.names
+        same = had and base.schema[column].dataType == kind
+        touched, rest = self.holding(base, keys=d) if keep_unmatched and (same or not had) else (list(base.fragments), [])
+        rows = self.read_version(base, touched).join(d, pk, "left")
         old = F.col(column).cast(kind) if had and keep_unmatched else F.lit(None).cast(kind)
         rows = rows.withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(old))
         fields = [T.StructField(f.name, kind if f.name == column else f.dataType) for f in base.schema]
         schema = T.StructType(fields if had else [*fields, T.StructField(column, kind)])
-        return self._rewrite(base, rows.select(*schema.names, SEQ), schema)
+        return self._rewrite(base, rows.select(*schema.names, SEQ) if touched else None, schema, rest)
 
     def add_column(self, column: str, kind: T.DataType) -> Version:
         """A column of NULLs: just the schema changes, no file is written."""
@@ -258,7 +280,8 @@ class SnapshotTable:
         """Delete rows for which the predicate is true (not NULL); their number."""
         base = self._need()
         gone = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
-        new = self._rewrite(base, self.read_version(base).filter(~gone))
+        touched, rest = self.holding(base, gone)
+        new = self._rewrite(base, self.read_version(base, touched).filter(~gone) if touched else None, beside=rest)
         return base.rows - new.rows
 
     def replace_rows(self, where: str | Column, df: DataFrame, order_by: list | None = None) -> Version:
@@ -266,11 +289,13 @@ class SnapshotTable:
         base = self._need()
         gone = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
         new = self._numbered(self._aligned(df, base.schema), base, order_by)
-        return self._rewrite(base, self.read_version(base).filter(~gone).unionByName(new))
+        touched, rest = self.holding(base, gone)
+        return self._rewrite(base, self.read_version(base, touched).filter(~gone).unionByName(new), beside=rest)
 
-    def replace_all(self, base: Version, df: DataFrame, schema: T.StructType) -> Version:
-        """Commit rows (with ``_seq``) that were computed from ``base``; Conflict if it isn't the newest any more."""
-        return self._rewrite(base, df.select(*schema.names, SEQ), schema)
+    def replace_all(self, base: Version, df: DataFrame, schema: T.StructType, beside: list[dict] = ()) -> Version:
+        """Commit rows (with ``_seq``) that were computed from ``base``, and the fragments ``beside`` them that stay;
+        Conflict if it isn't the newest any more."""
+        return self._rewrite(base, df.select(*schema.names, SEQ), schema, beside)
 
     def compact(self, threshold: int = 20, target_rows: int = 1_000_000) -> bool:
         """Rewrite into few fragments if there are more than ``threshold``."""
@@ -281,6 +306,13 @@ class SnapshotTable:
         self._rewrite(base, self.read_version(base).coalesce(n))
         return True
 
+    def probe(self) -> None:
+        """Write, read and delete a file of the table's folder; raises what the file system raises."""
+        path = self._jvm_path(f"{self.path}/_probe-{uuid.uuid4().hex}")
+        self._fs.create(path, False).close()
+        self._fs.open(path).close()
+        self._fs.delete(path, False)
+
     def drop(self) -> None:
         self._fs.delete(self._jvm_path(self.path), True)
 
