@@ -73,5 +73,5 @@ def match_profile(rows, column: Column, catalogue, seq: str):
         return rows.withColumn(column.name, F.lit(None).cast("string"))
     names = tuple(column.lookup.match_columns)
     name, id_ = names if len(names) == 2 else (names[0], names[-1])
-    ext = catalogue(column.lookup.workflow)
-    return lookups.lookup(rows, column.derived_from[0], ext, (name, id_), seq, column.name)
+    ext = catalogue(column.lookup.workflow, column.lookup.dataset_path)
+    return lookups.lookup(rows, column.lookup.on or column.derived_from[0], ext, (name, id_), seq, column.name)

@@ -413,7 +413,7 @@ def converged_repos(spark, sf_dir, where: str = "true") -> DataFrame:
     match = {"name": "linkedin_match", "processor": "match_linkedin_profile", "derived_from": ["cleaned_name"], "lookup": look}
     ws = [parse(common | {"name": "repos", "dataset_path": "r", "columns": [*raw, match]}), parse(common | {"name": "people", "dataset_path": "p", "columns": raw})]
     tables = {"repos": stored(spark, "repos", "p_partkey", part.where(where), ["p_partkey"]), "people": stored(spark, "people", "p_partkey", part, ["p_partkey"])}
-    rows = lambda n: tables[n].read_version(tables[n].version())
+    rows = lambda n, path=None: tables[n].read_version(tables[n].version())
     order = list(converge_all({w.name: Engine(w, tables[w.name], rows) for w in ws}))
     return tables["repos"].read(["p_partkey", "cleaned_name", "linkedin_match"]).withColumn("run_order", F.lit(",".join(order)))
 

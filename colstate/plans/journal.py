@@ -1,7 +1,8 @@
 """Run journal: a JSON file for each finished (pass, level), so that a run can be followed and resumed.
 
-The data is the state: a run that was cut off is resumed by converging again, which computes only what
-is still missing. The journal tells what had been done and which version holds it.
+The data is the state: converging computes only what is still missing. The journal tells what a run had done, which
+version holds it and what it had met, so that a run of the same id goes on where it was cut off, counts what it
+had counted before, and gives its result again when it had ended.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def column_from_json(text: str) -> Column:
     d["derived_from"] = tuple(d["derived_from"])
     d["scaling"] = Scaling(**d["scaling"])
     if lookup:
-        lookup = Lookup(lookup["workflow"], lookup["on"], tuple(lookup["match_columns"]))
+        lookup = Lookup(**lookup | {"match_columns": tuple(lookup["match_columns"])})
     return Column(**d, lookup=lookup)
 
 
@@ -37,23 +38,41 @@ class Journal:
         self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._jvm_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def record(self, workflow: str, number: int, level: int, done: list[str], failed: list[str], rows: int, version: int) -> None:
-        body = {"workflow": workflow, "pass": number, "level": level, "computed": done, "failed": failed, "rows": rows, "version": version}
-        out = self._fs.create(self._jvm_path(f"{self.path}/{workflow}-{number:03d}-{level:03d}.json"), True)
+    def _put(self, name: str, body: dict) -> None:
+        """Under a temporary name first: an entry is there as a whole or not at all."""
+        target, temp = self._jvm_path(f"{self.path}/{name}"), self._jvm_path(f"{self.path}/.{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(temp, True)
         try:
             out.write(bytearray(json.dumps(body).encode()))
         finally:
             out.close()
+        self._fs.delete(target, False)
+        self._fs.rename(temp, target)
 
-    def entries(self) -> list[dict]:
+    def _get(self, path) -> dict:
+        stream = self._fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def record(self, workflow: str, number: int, level: int, done: list[str], failed: dict[str, str], rows: int, version: int, nulls: dict[str, int]) -> None:
+        body = {"workflow": workflow, "pass": number, "level": level, "computed": done, "failed": list(failed), "errors": failed, "rows": rows, "version": version, "nulls": nulls}
+        n = len(self.entries(workflow))  # a pass that is taken up again adds to what it had done
+        self._put(f"{workflow}-{number:03d}-{level:03d}-{n:04d}.json", body)
+
+    def finish(self, workflow: str, result: dict) -> None:
+        self._put(f"{workflow}.result", result)
+
+    def result(self, workflow: str) -> dict | None:
+        """What a run that has ended had found."""
+        path = self._jvm_path(f"{self.path}/{workflow}.result")
+        return self._get(path) if self._fs.exists(path) else None
+
+    def entries(self, workflow: str | None = None) -> list[dict]:
         if not self._fs.exists(self._jvm_path(self.path)):
             return []
-        found = []
-        for status in self._fs.listStatus(self._jvm_path(self.path)):
-            if status.getPath().getName().endswith(".json"):
-                stream = self._fs.open(status.getPath())
-                try:
-                    found.append(json.loads(bytes(stream.readAllBytes()).decode()))
-                finally:
-                    stream.close()
+        paths = sorted((s.getPath() for s in self._fs.listStatus(self._jvm_path(self.path))), key=lambda p: p.getName())
+        found = [self._get(p) for p in paths if p.getName().endswith(".json")]
+        found = [e for e in found if workflow in (None, e["workflow"])]
         return sorted(found, key=lambda e: (e["workflow"], e["pass"], e["level"]))

@@ -34,11 +34,13 @@ class Scaling:
 
 @dataclass(frozen=True)
 class Lookup:
-    """A join into another dataset: ``on`` is this side's column, ``match_columns`` the other's (name, id)."""
+    """A join into another dataset: ``on`` is this side's column (by default the first that the derived one comes from),
+    ``match_columns`` the other's (name, id), ``dataset_path`` where it lies if its workflow isn't known here."""
 
     workflow: str
-    on: str
+    on: str | None
     match_columns: tuple[str, ...]
+    dataset_path: str | None = None
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def _column(d: dict) -> Column:
         processor=d.get("processor"),
         derived_from=tuple(deps),
         scaling=Scaling(**{k: int(scaling[k]) for k in ("parallelism", "num_cpus", "num_gpus", "batch_size") if k in scaling}),
-        lookup=lookup and Lookup(lookup["workflow"], lookup["on"], tuple(lookup["match_columns"])),
+        lookup=lookup and Lookup(lookup["workflow"], lookup.get("on"), tuple(lookup["match_columns"]), lookup.get("dataset_path")),
     )
 
 
