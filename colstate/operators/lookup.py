@@ -5,20 +5,21 @@ that of the first. Fuzzy, for names without an exact match: the other name with
 ``SequenceMatcher(None, own, other).ratio()``, of equal ratios the one that came first, if the
 ratio is at least 0.8. The ratio isn't symmetric, so the order of its arguments matters.
 
-Only distinct unmatched names are compared, and only with names that can reach the threshold: a ratio of
-0.8 needs lengths within a factor of 1.5 and a common count of characters. Names of length l can
-only match names of lengths ceil(2l/3) to floor(3l/2), so both sides are joined on length classes;
-candidates are also cut by the count of shared characters before anything is aligned.
+Only distinct unmatched names are compared, and no product of them is made. A ratio of t needs t * (l + m) / 2 characters in
+common for lengths l and m, each as often as both names have it. So a name is a set of (occurrence, character); for each
+length that the other name may have, so many of its elements, those of high occurrence and code point first, as
+are left over by that number, and one: two such names share at least one of these (the prefixes of a set join). Names are
+joined on an element and both lengths, pairs are counted once, at their first common element, and
+just those with enough characters in common are aligned.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -46,20 +47,39 @@ def _pairs(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
         yield pd.DataFrame(out, columns=["own", "ratio", "first_seq", "id"])
 
 
-def fuzzy(names: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``own, id`` for the distinct ``names (own)`` that have a similar known name.
+def _elements(name: Column) -> Column:
+    """A name's characters with the number of their occurrence, late ones first: what few names share comes early."""
+    signs = F.split(name, "")
+    nth = lambda c, i: F.size(F.filter(F.slice(signs, F.lit(1), i + 1), lambda x: x == c))
+    return F.sort_array(F.transform(signs, lambda c, i: F.concat(F.lpad(nth(c, i).cast("string"), 6, "0"), c)), asc=False)
+
 
-    Lengths are dealt into classes whose bounds grow by the factor that the threshold allows, so a
-    name needs its own class and the two beside it; the exact bound on lengths follows.
-    """
+def _prefixes(names: DataFrame, column: str, threshold: float) -> DataFrame:
+    """Rows ``element, own_len, other_len, need`` for each length of the other name, with the name and its elements."""
     step = threshold / (2 - threshold)  # shorter / longer at least
-    cls = F.floor(F.log(F.length("key").cast("double")) / F.lit(float(math.log(1 / step)))).cast("int")
-    right = known.where(F.length("key") > 0).withColumn("cls", cls)
-    own_cls = F.floor(F.log(F.length("own").cast("double")) / F.lit(float(math.log(1 / step)))).cast("int")
-    left = names.where(F.length("own") > 0).withColumn("cls", F.explode(F.array(own_cls - 1, own_cls, own_cls + 1)))
-    bound = F.least(F.length("own"), F.length("key")) * 2 >= threshold * (F.length("own") + F.length("key")) - 1e-9
-    pairs = left.join(right, "cls").where(bound).select("own", "key", "id", "first_seq")
-    scored = pairs.mapInPandas(lambda b: _pairs(b, threshold), "own string, ratio double, first_seq bigint, id string")
+    size = F.size("elements")
+    rows = names.where(F.length(column) > 0).withColumn("elements", _elements(F.col(column)))
+    other = F.explode(F.sequence(F.ceil(size * step - 1e-9).cast("int"), F.floor(size / step + 1e-9).cast("int")))
+    rows = rows.select("*", size.alias("own_len"), other.alias("other_len"))
+    rows = rows.withColumn("need", F.ceil((F.col("own_len") + F.col("other_len")) * threshold / 2 - 1e-9).cast("int"))
+    rows = rows.where(F.col("need") <= F.least("own_len", "other_len")).withColumn("prefix", F.slice("elements", F.lit(1), F.col("own_len") - F.col("need") + 1))
+    return rows.select("*", F.explode("prefix").alias("element"))
+
+
+def candidates(names: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``own, key, id, first_seq`` of all pairs that have enough characters in common, each once."""
+    left = _prefixes(names.select("own"), "own", threshold).withColumnsRenamed({"elements": "own_elements", "prefix": "own_prefix"})
+    right = _prefixes(known.select("key", "id", "first_seq"), "key", threshold)
+    right = right.select("key", "id", "first_seq", "elements", "prefix", "element", F.col("own_len").alias("other_len"), F.col("other_len").alias("own_len"))
+    pairs = left.join(right, ["element", "own_len", "other_len"])
+    first = F.array_intersect("own_prefix", "prefix")[0] == F.col("element")
+    enough = F.size(F.array_intersect("own_elements", "elements")) >= F.col("need")
+    return pairs.where(first).where(enough).select("own", "key", "id", "first_seq")
+
+
+def fuzzy(names: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``own, id`` for the distinct ``names (own)`` that have a similar known name."""
+    scored = candidates(names, known, threshold).mapInPandas(lambda b: _pairs(b, threshold), "own string, ratio double, first_seq bigint, id string")
     best = F.max_by(F.col("id"), F.struct("ratio", -F.col("first_seq")))
     return scored.groupBy("own").agg(best.alias("id"))
 
