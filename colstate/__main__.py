@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -14,17 +16,28 @@ COMMANDS: dict[str, Callable] = {
     "workflows": lambda c, a: c.workflows(),
     "ingest": lambda c, a: c.ingest(a.workflow, open(a.file, "rb").read() if a.file else None, a.count),
     "upsert": lambda c, a: c.upsert(a.workflow, count=a.count, updates=a.updates),
-    "converge": lambda c, a: c.converge(a.workflow),
-    "converge-all": lambda c, a: c.converge_all(),
+    "converge": lambda c, a: c.converge(a.workflow, a.durable, a.run),
+    "converge-all": lambda c, a: c.converge_all(a.durable, a.run),
     "status": lambda c, a: c.status(a.workflow),
     "sample": lambda c, a: c.sample(a.workflow, a.n),
     "reset": lambda c, a: c.reset(a.workflow),
     "lifecycle": lambda c, a: c.lifecycle(*c.workflows()["dependency_order"][:2]),
 }
 
+#: The method of each route: what changes datasets is posted.
+METHODS = {name: "GET" if name in ("workflows", "status", "sample") else "POST" for name in COMMANDS}
+
+
+def _truth(text: str | None) -> bool:
+    return (text or "").lower() in ("1", "true", "yes")
+
 
 def serve(c: Colstate, port: int, host: str = "127.0.0.1"):
-    """The commands over HTTP: GET or POST /command?workflow=...; 404 for unknown routes, 400 for unknown workflows."""
+    """The commands over HTTP: METHOD /command?workflow=... with the method of METHODS.
+
+    404 for other routes and methods, 400 for unknown workflows and for numbers that aren't any, 500 with the message for all
+    other errors. ``durable=1`` or ``run=ID`` (or DURABLE_RUNS in the environment) makes a run that can be taken up again.
+    """
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qsl, urlsplit
 
@@ -33,20 +46,26 @@ def serve(c: Colstate, port: int, host: str = "127.0.0.1"):
             url = urlsplit(self.path)
             query, name = dict(parse_qsl(url.query)), url.path.strip("/")
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            if name not in COMMANDS:
-                return self.say(404, {"error": f"unknown route: {name}"})
-            a = argparse.Namespace(
-                workflow=query.get("workflow"), file=None, n=int(query.get("n", 5)), updates=int(query.get("updates", 50)),
-                count=int(query.get("count", 500 if name == "ingest" else 100)),
-            )
+            if METHODS.get(name) != self.command:
+                return self.say(404, {"error": f"unknown route: {self.command} {url.path}"})
             try:
-                if name == "ingest" and self.headers.get("Content-Type") == "application/x-protobuf":
+                a = argparse.Namespace(
+                    workflow=query.get("workflow"), file=None, n=int(query.get("n", 5)), updates=int(query.get("updates", 50)),
+                    count=int(query.get("count", 500 if name == "ingest" else 100)), run=query.get("run"),
+                    durable=_truth(query.get("durable", os.environ.get("DURABLE_RUNS"))),
+                )
+            except ValueError as e:
+                return self.say(400, {"error": str(e)})
+            try:
+                if name == "ingest" and "application/x-protobuf" in (self.headers.get("Content-Type") or ""):
                     return self.say(200, c.ingest(a.workflow, body))
                 return self.say(200, COMMANDS[name](c, a))
             except UnknownWorkflow as e:
                 return self.say(400, {"error": str(e)})
+            except Exception as e:  # noqa: BLE001  the client learns what went wrong, the server goes on
+                return self.say(500, {"error": f"{type(e).__name__}: {e}"[:2000]})
 
-        do_GET = do_POST = answer
+        do_GET = do_POST = do_PUT = do_DELETE = answer
 
         def say(self, code: int, what: dict) -> None:
             data = json.dumps(what, default=str).encode()
@@ -62,6 +81,22 @@ def serve(c: Colstate, port: int, host: str = "127.0.0.1"):
     return HTTPServer((host, port), Handler)
 
 
+def wait_ready(url: str, seconds: float = 60, sleep: Callable[[float], None] = time.sleep) -> bool:
+    """Ask a server for its workflows until it answers; False if it hasn't within the time."""
+    from urllib.error import URLError
+    from urllib.request import urlopen
+
+    until = time.monotonic() + seconds
+    while True:
+        try:
+            with urlopen(f"{url.rstrip('/')}/workflows", timeout=5) as r:
+                return r.status == 200
+        except (URLError, OSError):
+            if time.monotonic() >= until:
+                return False
+            sleep(min(1.0, seconds / 10))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="colstate")
     p.add_argument("--workflows", required=True, help="folder of definitions")
@@ -72,6 +107,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--updates", type=int, default=50)
     p.add_argument("--n", type=int, default=5)
     p.add_argument("--port", type=int, default=8000)
+    p.add_argument("--durable", action="store_true", help="converge as a run that can be taken up again")
+    p.add_argument("--run", help="id of the run to take up again")
     p.add_argument("command", choices=[*COMMANDS, "serve"])
     a = p.parse_args(argv)
     c = Colstate.from_dir(SparkSession.builder.appName("colstate").getOrCreate(), a.workflows, a.root)

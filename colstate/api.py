@@ -14,6 +14,7 @@ from colstate.plans.engine import Engine, Result, converge_all
 from colstate.plans.journal import Journal
 from colstate.plans.model import Workflow, load_dir
 from colstate.sources import records
+from colstate.sources.jdbc import JdbcTable
 from colstate.sources.snapshots import SEQ, SnapshotTable
 
 BATCH_ROWS = 500
@@ -23,18 +24,37 @@ class UnknownWorkflow(KeyError):
     pass
 
 
-def open_table(spark: SparkSession, workflow: Workflow, root: str) -> SnapshotTable:
-    """Snapshot tables are the one backend here; STORAGE_BACKEND may name it ("snapshot") and nothing else."""
-    backend = os.environ.get("STORAGE_BACKEND", "snapshot")
-    if backend != "snapshot":
+def dataset_uri(root: str, path: str) -> str:
+    """Where a dataset lies: a relative ``dataset_path`` is one below the root."""
+    return path if "://" in path or path.startswith("/") else f"{root.rstrip('/')}/{path}"
+
+
+def backend_name() -> str:
+    """``STORAGE_BACKEND``: "snapshot", or "jdbc" for a database at ``DATABASE_URL``."""
+    backend = os.environ.get("STORAGE_BACKEND", "snapshot").lower()
+    if backend not in ("snapshot", "jdbc"):
         raise ValueError(f"unknown storage backend: {backend}")
-    return SnapshotTable(spark, f"{root.rstrip('/')}/{table_name(workflow.name)}", workflow.primary_key)
+    return backend
+
+
+def open_table(spark: SparkSession, workflow: Workflow, root: str) -> SnapshotTable:
+    """The workflow's dataset: a snapshot table at its ``dataset_path``, or a table of a database named after the workflow."""
+    if backend_name() == "jdbc":
+        return JdbcTable(spark, os.environ["DATABASE_URL"], table_name(workflow.name), workflow.primary_key)
+    return SnapshotTable(spark, dataset_uri(root, workflow.dataset_path), workflow.primary_key)
+
+
+def open_leases(spark: SparkSession) -> Leases | None:
+    """Row leases in the folder that ``COLSTATE_LEASES`` names; None without it, or if it can't be reached."""
+    path = os.environ.get("COLSTATE_LEASES")
+    leases = Leases(spark, path) if path else None
+    return leases if leases is not None and leases.ping() else None
 
 
 class Colstate:
     def __init__(self, spark: SparkSession, workflows: dict[str, Workflow] | list[Workflow], root: str, *, default: str | None = None, leases: Leases | None = None, journal: str | None = None):
         found = workflows.values() if isinstance(workflows, dict) else workflows
-        self.spark, self.root, self.default, self.leases = spark, root, default, leases
+        self.spark, self.root, self.default, self.leases, self.journal = spark, root, default, leases, journal
         self.definitions = {w.name: w for w in found}
         self.tables = {n: open_table(spark, w, root) for n, w in self.definitions.items()}
         log = Journal(spark, journal) if journal else None
@@ -42,11 +62,13 @@ class Colstate:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, folder: str, root: str, single: str | None = None, **options) -> Colstate:
-        return cls(spark, load_dir(folder, single), root, **options)
+        return cls(spark, load_dir(folder, single), root, **{"leases": open_leases(spark)} | options)
 
-    def rows_of(self, name: str) -> DataFrame | None:
-        """Another dataset's rows with their order of arrival; None if it isn't there."""
+    def rows_of(self, name: str, path: str | None = None) -> DataFrame | None:
+        """The rows of another workflow's dataset, or of that at a path, with their order of arrival; None if it isn't there."""
         table = self.tables.get(name)
+        if table is None and path:
+            table = SnapshotTable(self.spark, dataset_uri(self.root, path))
         version = table.version() if table else None
         return table.read_version(version) if version else None
 
@@ -61,7 +83,7 @@ class Colstate:
 
     def workflows(self) -> dict:
         listed = [
-            {"name": w.name, "dataset_path": self.tables[n].path, "primary_key": w.primary_key, "columns": [c.name for c in w.columns], "storage_backend": "snapshot"}
+            {"name": w.name, "dataset_path": self.tables[n].path, "primary_key": w.primary_key, "columns": [c.name for c in w.columns], "storage_backend": backend_name()}
             for n, w in self.definitions.items()
         ]
         return {"workflows": listed, "dependency_order": graph.workflow_order(list(self.definitions.values()))}
@@ -105,13 +127,22 @@ class Colstate:
         table.upsert(data, on_update, order_by)
         return {"action": "upsert", "workflow": name, "new": total - updated, "updates": updated, "total_records": table.count_rows(), "fragments": table.fragmentation()}
 
-    def converge(self, workflow: str | None = None) -> dict:
+    def run(self, run: str | None = None) -> Journal:
+        """The journal of a durable run, a new one without an id; it lies beside the datasets if no other folder was named."""
+        return Journal(self.spark, self.journal or f"{self.root.rstrip('/')}/_runs", run)
+
+    def converge(self, workflow: str | None = None, durable: bool = False, run: str | None = None) -> dict:
+        """Compute what is missing. A durable run has an id, by which it is taken up again after a crash."""
         name = self._name(workflow)
-        return {"workflow": name} | self._told(self.engines[name].converge())
+        log = self.run(run) if durable or run else None
+        out = {"workflow": name} | self._told(self.engines[name].converge(journal=log))
+        return out | {"run_id": log.run} if log else out
 
-    def converge_all(self) -> dict:
-        results = converge_all(self.engines)
-        return {"dependency_order": list(results), "results": {n: self._told(r) for n, r in results.items()}}
+    def converge_all(self, durable: bool = False, run: str | None = None) -> dict:
+        log = self.run(run) if durable or run else None
+        results = converge_all(self.engines, log)
+        out = {"dependency_order": list(results), "results": {n: self._told(r) for n, r in results.items()}}
+        return out | {"run_id": log.run} if log else out
 
     @staticmethod
     def _told(r: Result) -> dict:
@@ -123,7 +154,7 @@ class Colstate:
             s = self.tables[name].stats()
         except Exception as e:  # noqa: BLE001  a damaged dataset is reported, not raised
             return {"workflow": name, "exists": False, "error": str(e)}
-        return {"workflow": name, "exists": s["exists"], "rows": s["row_count"], "fragments": s["fragmentation"], "columns": s["columns"], "storage_backend": "snapshot"}
+        return {"workflow": name, "exists": s["exists"], "rows": s["row_count"], "fragments": s["fragmentation"], "columns": s["columns"], "storage_backend": backend_name()}
 
     def sample(self, workflow: str | None = None, n: int = 5) -> dict:
         rows = [r.asDict(recursive=True) for r in self.tables[self._name(workflow)].sample(n).collect()]

@@ -32,6 +32,11 @@ class Leases:
         return self.table.read(where=F.col("expires") > self.clock())
 
     def ping(self) -> bool:
+        """Whether the folder of leases can be read and written."""
+        try:
+            self.table.probe()
+        except Exception:  # noqa: BLE001  whatever the file system says, leases aren't to be had
+            return False
         return True
 
     def locked(self, workflow: str, ids: DataFrame) -> DataFrame:

@@ -42,11 +42,11 @@ def linkedin(spark: SparkSession, n: int, offset: int = 0, seed: int = 1) -> Dat
 
 
 def github(spark: SparkSession, n: int, offset: int = 0, seed: int = 11) -> DataFrame:
-    """``github_username, name, repos``: 1 to 5 distinct repositories."""
+    """``github_username, name, repos``: blanks around names, 1 to 5 distinct repositories."""
     first, last = _pick(FIRST, seed), _pick(LAST, seed + 1)
     return spark.range(offset, offset + n).select("id", first.alias("f"), last.alias("l"), _some(REPOS, 1, 5, seed + 2).alias("r")).select(
         F.lower(F.format_string("%s_%s_%d", "f", "l", "id")).alias("github_username"),
-        F.concat_ws(" ", "f", "l").alias("name"),
+        F.concat(F.lit("  "), "f", F.lit(" "), "l", F.lit("  ")).alias("name"),
         F.array_join("r", ", ").alias("repos"),
     )
 
@@ -55,7 +55,7 @@ def github_overlapping(spark: SparkSession, n: int, profiles: DataFrame, overlap
     """``overlap`` rows with the names of ``profiles``, the rest with names of their own."""
     shared = profiles.orderBy("member_id").limit(overlap).select("name")
     shared = shared.select(F.lower(F.concat(F.lit("gh_"), F.regexp_replace(F.trim("name"), " ", "_"), F.lit("_"), F.monotonically_increasing_id())).alias("github_username"), "name")
-    shared = shared.withColumn("repos", F.lit("parser, shell"))
+    shared = shared.withColumn("id", F.xxhash64("github_username")).withColumn("repos", F.array_join(_some(REPOS, 1, 5, seed + 3), ", ")).drop("id")
     rest = github(spark, max(0, n - overlap), overlap, seed)
     return shared.unionByName(rest.withColumn("github_username", F.concat(F.lit("gh_unique_"), "github_username")))
 
