@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
 
 A byte-level BPE with the usual splitting pattern encodes each piece of that pattern by itself, so
-the ids of a text are those of its pieces, in order. The library encodes those pieces that a worker hasn't met or has
+the ids of a text are those of its pieces, in order. The library's model encodes those pieces that a worker hasn't met or has
 forgotten; texts with characters outside the blocks that the pattern below covers, or with an
 added token's string in them, are given to the library whole. Both ways give the same ids.
 """
@@ -13,7 +13,6 @@ import json
 import os
 import re
 import unicodedata
-from itertools import chain, islice
 
 import numpy as np
 
@@ -26,11 +25,20 @@ _PIECES = re.compile(
     f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _ODD = re.compile(f"[^{SIMPLE}]")
-#: Pieces of a full memo, about 200 bytes each: 50 MB a worker.
-_MEMO_PIECES = 250_000
+#: Pieces of a full memo, about 200 bytes each: 80 MB a worker.
+_MEMO_PIECES = 400_000
 #: Characters of texts that are cut into pieces at a time.
 _BATCH_CHARS = 1 << 20
 
+#: The sign that byte-level BPE writes for each byte: printable ones of Latin-1 for themselves, the others numbered from U+0100.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGNS = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + n) for n, b in enumerate(b for b in range(0x100) if b not in _PLAIN)}
+
+
+def _signs(text: str) -> str:
+    """The signs of a text's bytes."""
+    return text.encode().decode("latin-1").translate(_SIGNS)
+
 
 def definition(path: str) -> str:
     with open(path, encoding="utf-8") as f:
@@ -45,13 +53,26 @@ def version(definition_json: str) -> str:
 
 
 class _Codes(dict):
-    """Pieces by number: asking for an unknown piece gives it the next one."""
+    """Pieces by number: asking for an unknown piece gives it the next one and lists it as new."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
+        self.new.append(piece)
         return n
 
 
+def _grown(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``a`` with ``more`` behind the first ``used`` places; it grows by half when it is full."""
+    if used + len(more) > len(a):
+        a = np.append(a, np.zeros(max(len(a) // 2, used + len(more) - len(a)), a.dtype))
+    a[used : used + len(more)] = more
+    return a
+
+
 class Memo:
     """The ids of pieces. When it is full, it keeps those pieces that were asked for most, more than once, since it was full last."""
 
@@ -60,28 +81,32 @@ class Memo:
         self._keep([], np.empty(0, np.int64), np.empty(0, "<u4"))
 
     def _keep(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
-        self.codes, self.size, self.flat = _Codes(zip(pieces, range(len(pieces)))), size, flat
+        self.codes, self.size, self.flat, self.ids = _Codes(pieces), size.astype(np.int32), flat, len(flat)
         self.start, self.used = np.cumsum(size) - size, np.zeros(len(size), np.int64)
 
     def turn(self) -> None:
         """Forget pieces if there are too many of them, or long ones among them."""
-        if len(self.codes) <= self.most and len(self.flat) <= 8 * self.most:
+        n = len(self.codes)
+        if n <= self.most and self.ids <= 8 * self.most:
             return
-        often = np.nonzero((self.used > 1) & (self.size <= 16))[0]
+        often = np.nonzero((self.used[:n] > 1) & (self.size[:n] <= 16))[0]
         kept = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.most // 2]])
-        pieces, size = list(self.codes), self.size[kept]
+        pieces, size = list(self.codes), self.size[kept].astype(np.int64)
         self._keep([pieces[i] for i in kept.tolist()], size, self.flat[_spans(self.start[kept], size)])
 
     def find(self, pieces: list[str], encode) -> np.ndarray:
         """The numbers of pieces; ``encode`` gives the ids of those that are new."""
         self.turn()
+        had = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int32, len(pieces))
-        if len(self.codes) > len(self.size):
-            flat, size = encode(list(islice(self.codes, len(self.size), None)))
-            self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
-            self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
-            self.used = np.append(self.used, np.zeros(len(size), np.int64))
-        self.used += np.bincount(codes, minlength=len(self.used))
+        if new := self.codes.new:
+            self.codes.new = []
+            flat, size = encode(new)
+            self.start = _grown(self.start, had, self.ids + np.cumsum(size) - size)
+            self.size, self.used = _grown(self.size, had, size), _grown(self.used, had, np.zeros(len(size), np.int64))
+            self.flat, self.ids = _grown(self.flat, self.ids, flat), self.ids + len(flat)
+        asked = np.bincount(codes)
+        self.used[: len(asked)] += asked
         return codes
 
 
@@ -115,8 +140,6 @@ class Encoder:
         added = [t["content"] for t in shape.get("added_tokens") or ()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pieces = Memo(_MEMO_PIECES)
-        feed = self._whole("\n")
-        self.feed = int(feed[0]) if len(feed) == 1 else None
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -152,22 +175,16 @@ class Encoder:
         return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(np.append(0, cut), cut))]
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, one after the other, and how many each has. Pieces that hold no line feed
-        and aren't blank are given to the library as lines of one text: an object of its own for each is dear."""
-        lines = [i for i, p in enumerate(pieces) if p[-1] not in _SPACE]
-        out: list[np.ndarray] = [None] * len(pieces)
-        if self.feed is not None and lines:
-            ids = self._whole("\n".join([pieces[i] for i in lines]))
-            ends = np.append(np.nonzero(ids == self.feed)[0], len(ids))
-            if len(ends) == len(lines) and len(lines) == len(pieces):
-                return ids[ids != self.feed], np.diff(ends, prepend=-1) - 1
-            if len(ends) == len(lines):
-                for i, a, b in zip(lines, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
-                    out[i] = ids[a:b]
-        for i, p in enumerate(pieces):
-            if out[i] is None:
-                out[i] = self._whole(p)
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
+        """The ids of all pieces, one after the other, and how many each has. The library's model encodes them as they come
+        out of its byte-level splitting; going through the whole of the library costs an encoding object for each."""
+        text = "\n".join(pieces)
+        if text.count("\n") == len(pieces) - 1:
+            signs = _signs(text).split(_signs("\n"))
+        else:
+            signs = list(map(_signs, pieces))
+        found = list(map(self.library.model.tokenize, signs))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.array([t.id for x in found for t in x], "<u4"), size
 
 
 _OPEN: dict[str, Encoder] = {}
