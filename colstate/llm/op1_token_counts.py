@@ -7,7 +7,7 @@ to the cache and joins all documents to it.
 
 Defined cases: a null text counts as the empty text, 0 tokens; null and repeated ids are kept row by
 row; equal contents are encoded once whatever their number (they are merged before the shuffle,
-task by task); other columns of the input are not looked at, so their names can't clash.
+task by task), and the rows that share one are dealt over several tasks when they are joined to its count; other columns of the input are not looked at, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -56,6 +56,15 @@ def fill(contents: DataFrame, cache: str, definition: str) -> str:
     return version
 
 
+def counts_of(docs: DataFrame, definition: str, cache: str, *, text_col: str = "text") -> DataFrame:
+    """``digest, n_tokens`` of all contents of ``docs``, those that the cache lacks encoded and appended to it. A digest is the SHA-256."""
+    common.tune(docs.sparkSession)
+    content = common.text_of(text_col)
+    version = fill(docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content")), cache, definition)
+    # written, so that the stage of a join with it has no aggregate of its own and a digest of very many rows is split there
+    return common.written(stored(docs.sparkSession, cache, version), common.work_dir(docs.sparkSession, "op1") + "/counts")
+
+
 def count_tokens(
     docs: DataFrame,
     definition: str,
@@ -68,14 +77,11 @@ def count_tokens(
 ) -> DataFrame:
     """Per row: ``id_col, n_bytes, n_tokens, over_limit``. ``normalise`` maps the content that is counted
     (by default the whole text, null as empty, otherwise unchanged, since any other change may change counts)."""
-    common.tune(docs.sparkSession)
     content = common.text_of(text_col)
     content = normalise(content) if normalise else content
     rows = docs.select(F.col(id_col), content.alias("content"))
-    digest = F.unhex(F.sha2("content", 256)).alias("digest")
-    version = fill(rows.select(digest, "content"), cache, definition)
-    counts = stored(docs.sparkSession, cache, version)
-    keyed = rows.select(id_col, F.octet_length("content").cast("long").alias("n_bytes"), digest)
+    counts = counts_of(rows, definition, cache, text_col="content")
+    keyed = rows.select(id_col, F.octet_length("content").cast("long").alias("n_bytes"), F.unhex(F.sha2("content", 256)).alias("digest"))
     return keyed.join(counts, "digest").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
