@@ -7,8 +7,9 @@ Blank units are never removed. The kept units joined by the separator are the ne
 stood in the original text is returned with it.
 
 No texts are moved for the grouping, just digests and positions, merged task by task first; a unit that
-a third of the corpus shares costs a row a task there, and the join back to its occurrences is a
-plain one, whose hot partitions adaptive execution splits.
+a third of the corpus shares costs a row a task there. The units that come more than once are written
+before they are joined back to their occurrences: adaptive execution splits hot partitions of a
+join only if no aggregate by its key is in the same stage.
 
 Defined cases: a null text counts as empty and stays so; rows equal in rank and text are one document
 and get equal results; equal ranks are told apart by the text's digest.
@@ -88,7 +89,8 @@ def deduplicate(docs: DataFrame, *, separator: str = LINES, rank_col: str = "doc
     # where a unit stands, in the order of ranks
     place = F.struct(F.col("rank").isNull().alias("last"), "rank", "h", "doc_id", "at")
     firsts = spots.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = spots.join(firsts.drop("n"), ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = common.written(firsts.drop("n"), common.work_dir(docs.sparkSession, "op2") + "/firsts")
+    gone = spots.join(firsts, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
     # a document's removed units are bounded by its own length
     gone = gone.groupBy("doc_id", "rank", "h").agg(F.collect_set("at").alias("gone"))
     a, b = rows.alias("a"), gone.alias("b")
