@@ -21,7 +21,8 @@ meet in the same shard:
 4. Repeats go back to their texts as ranges of bytes and are cut out.
 
 A group of more than ``hot_runs`` runs (a passage that a huge number of texts share) isn't taken into one
-task: its windows are hashed one by one (128 bits) and counted by hash, merged before the shuffle.
+task: its windows are hashed one by one (128 bits) and counted by hash, merged before the shuffle; what is found goes
+back as ranges. No rows are dropped by that, and both ways find the same.
 
 Defined cases: a null text is empty; nothing is removed from texts below LENGTH bytes; a text that comes
 more than once, under whatever ids, loses all its bytes if it has LENGTH or more.
@@ -309,7 +310,8 @@ def _find_runs(length: int):
 
 
 def _segments(length: int):
-    """The bytes of the listed runs of each text; of equal texts that follow each other, of one."""
+    """The bytes of the listed runs of each text; of equal texts that follow each other, of one (more of them would do no
+    harm: a text that comes more than once goes as a whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -386,6 +388,17 @@ def _windows(length: int):
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted starts as ranges: a row for each stretch within a batch."""
+    for b in batches:
+        h, g, s = (b.column(c).to_numpy() for c in ("h", "g", "s"))
+        if len(s):
+            first = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (s[1:] > s[:-1] + 1))
+            at = np.nonzero(first)[0]
+            columns = [h[at], g[at], s[at], s[np.append(at[1:], len(s)) - 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "g", "s", "e"])
+
+
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, removed_spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
@@ -428,15 +441,19 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = 2 <
     texts = common.written(texts, f"{work}/texts")
 
     found = rows.where(F.octet_length("text") >= length).select("h", "g", "text").mapInArrow(_find_runs(length), "h bigint, g bigint, p0 bigint, p1 bigint, key bigint")
-    runs = common.written(found, f"{work}/runs").distinct()  # equal texts have equal runs
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    runs = common.written(found.distinct(), f"{work}/runs")  # equal texts have equal runs
+    # what hot keys are joined to is written first: a join's partitions are split only if no aggregate is in its stage
+    often = common.written(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{work}/often")
     kept = runs.join(often, "key").select("h", "g", F.struct("key", (F.col("n") > hot_runs).alias("hot"), "p0", "p1").alias("r"))
     # a text's runs are bounded by its length
-    listed = common.written(kept.groupBy("h", "g").agg(F.collect_list("r").alias("runs")), f"{work}/listed")
+    listed = kept.groupBy("h", "g").agg(F.collect_list("r").alias("runs"))
     listed = listed.join(texts.select("h", "g", F.col("doc_id").alias("one")), ["h", "g"])
+    listed = common.written(listed, f"{work}/listed")
 
-    of_text = rows.join(listed, ["h", "g"]).where(F.col("doc_id").eqNullSafe(F.col("one")))
-    segments = of_text.select("h", "g", "text", "runs").mapInArrow(
+    # one document stands for its copies; with its id among the keys they don't meet in a task
+    same = (rows["h"] == listed["h"]) & (rows["g"] == listed["g"]) & rows["doc_id"].eqNullSafe(listed["one"])
+    of_text = rows.join(listed, same).select(rows["h"], rows["g"], "text", "runs")
+    segments = of_text.mapInArrow(
         _segments(length), "key bigint, hot boolean, h bigint, g bigint, p0 bigint, seg binary"
     )
     segments = common.written(segments, f"{work}/segments")  # texts move twice: for this, and to be cut
@@ -446,11 +463,12 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = 2 <
     repeated = dealt.mapInArrow(_sorted_shards(length, shard_bytes), _FOUND)
     if size["hot"]:
         hot = segments.where("hot").mapInArrow(_windows(length), "a bigint, c bigint, h bigint, g bigint, s bigint")
-        twice = hot.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        repeated = repeated.unionByName(hot.join(twice, ["a", "c"]).select("h", "g", "s", F.col("s").alias("e")))
+        twice = common.written(hot.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), f"{work}/twice")
+        again = hot.join(twice, ["a", "c"]).select("h", "g", "s").repartition(n, "h", "g", F.shiftright("s", 16))
+        repeated = repeated.unionByName(again.sortWithinPartitions("h", "g", "s").mapInArrow(_merged, _FOUND))
     marks = repeated.groupBy("h", "g").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     copies = texts.where("copies > 1").select("h", "g", F.lit(True).alias("whole"))
-    marks = marks.join(copies, ["h", "g"], "full")
+    marks = common.written(marks.join(copies, ["h", "g"], "full"), f"{work}/marks")
     out = rows.join(marks, ["h", "g"], "left").select("doc_id", "h", "g", "text", "whole", "found")
     return out.mapInArrow(_cut(length), _RESULT)
 
