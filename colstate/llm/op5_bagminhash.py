@@ -19,8 +19,8 @@ against all members of the bucket, in blocks of bounded bytes: a task gets the s
 of each, counts what they share, and returns links between different components only. Pairs within a
 component need no comparison: they can't change a class. No bucket is cut off.
 
-Nodes are 64-bit hashes of whole texts: with a billion different texts the chance that any two of them
-collide is 3 %. Shingles are compared by 64-bit hashes.
+Texts are told apart by 128 bits of hash, nodes are numbered by the first 64 of them; the few texts that agree in these
+and differ in the others are looked for, and get numbers made of all 128. Shingles are compared by 64-bit hashes.
 
 Defined cases: null and empty texts are equal texts and one class; a text of fewer than five words has one
 shingle of all of them; texts without words aren't candidates; a class's id is its least doc_id (null
@@ -30,12 +30,12 @@ only if all are), its keeper the row with that id, of equal ids the one with the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colstate.llm import common
@@ -143,11 +143,21 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(b)
         size = np.bincount(doc, weights=times, minlength=n).astype(np.int64)
         sig = signatures(n, doc, h, times)
-        columns = [b.column("doc_id"), b.column("h"), pa.array(size), pa.array(list(bands_of(sig)), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "bands"])
+        columns = [b.column("doc_id"), b.column("h"), b.column("g"), pa.array(size), pa.array(list(bands_of(sig)), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "g", "n", "bands"])
 
 
-_SKETCH_KIND = "doc_id bigint, h bigint, n bigint, bands array<bigint>"
+_SKETCH_KIND = "doc_id bigint, h bigint, g bigint, n bigint, bands array<bigint>"
+
+
+def hashes(text: Column, first: Column | None = None) -> dict[str, Column]:
+    """The two halves of what a text is known by."""
+    return {"h": F.xxhash64(text) if first is None else first, "g": F.xxhash64(F.lit(1), text)}
+
+
+def numbered(df: DataFrame, alike: list[int]) -> DataFrame:
+    """``h`` as the number of a node: for texts that agree in it by chance (``alike``) one that is made of both halves."""
+    return df.withColumn("h", F.when(F.col("h").isin(alike), F.xxhash64("h", "g")).otherwise(F.col("h"))) if alike else df
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +261,19 @@ def components(links: DataFrame, path: str) -> DataFrame:
     return edges.select(F.col("u").alias("h"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def classes(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
-    """Per row of ``docs (doc_id, text)``: ``doc_id, h, class_id, class_size, keep``; keep: the row stays."""
+def classes(docs: DataFrame, *, least: float = 0.8, first_half: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Per row of ``docs (doc_id, text)``: ``doc_id, h, g, class_id, class_size, keep``; keep: the row stays. ``first_half``: a
+    hash in place of ``h``, for tests."""
     spark = docs.sparkSession
     common.tune(spark)
     work = common.work_dir(spark, "op5")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    drawn = common.written(rows.mapInArrow(_sketches, _SKETCH_KIND), f"{work}/sketches")
-    nodes = drawn.where("n > 0").drop("doc_id").dropDuplicates(["h"])
+    rows = rows.withColumns(hashes(F.col("text"), first_half and first_half(F.col("text"))))
+    found = common.written(rows.mapInArrow(_sketches, _SKETCH_KIND), f"{work}/sketches")
+    # pairs of different texts that agree in 64 bits: one in 10^19, so the driver gets a handful even of 10^11 texts
+    alike = [x["h"] for x in found.groupBy("h").agg((F.min("g") < F.max("g")).alias("two")).where("two").select("h").collect()]
+    drawn = numbered(found, alike)
+    nodes = drawn.where("n > 0").select("h", "n", "bands").dropDuplicates(["h"])
 
     # buckets of two and more
     keys = nodes.select("h", F.explode("bands").alias("key"))
@@ -273,7 +287,7 @@ def classes(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     hubs = common.written(hubs.select("key", F.col("h").alias("hub"), "r"), f"{work}/hubs")
 
     # texts of candidates only: a distinct text is moved once
-    once = rows.groupBy("h").agg(F.first("text").alias("text")).join(shared.select("h"), "h", "left_semi")
+    once = numbered(rows, alike).groupBy("h").agg(F.first("text").alias("text")).join(shared.select("h"), "h", "left_semi")
     sets = common.written(once.select("h", "text").mapInArrow(_sets, "h bigint, e binary"), f"{work}/sets")
     stars = multi.join(hubs, "key").where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct()
     links = _verified(stars, sets, least, f"{work}/links1")
@@ -304,19 +318,21 @@ def classes(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
         old = comp.where("h <> comp").select(F.col("h").alias("a"), F.col("comp").alias("b"))
         comp = common.written(components(old.unionByName(more.select("a", "b")), f"{work}/comp2"), f"{work}/comp2")
 
-    member = drawn.select("doc_id", "h").join(comp, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    member = drawn.select("doc_id", "h", "g").join(comp, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     member = common.written(member, f"{work}/members")
-    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h")
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "h", "g")
     tops = member.groupBy("comp").agg(F.min(rank).alias("top"), F.count(F.lit(1)).alias("class_size"))
+    tops = common.written(tops, f"{work}/tops")  # a join's hot partitions are split only if no aggregate is in its stage
     out = member.join(tops, "comp")
-    return out.select("doc_id", "h", F.col("top.doc_id").alias("class_id"), "class_size", rank.eqNullSafe(F.col("top")).alias("keep"))
+    return out.select("doc_id", "h", "g", F.col("top.doc_id").alias("class_id"), "class_size", rank.eqNullSafe(F.col("top")).alias("keep"))
 
 
 def without_copies(docs: DataFrame, *, least: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each class, all its columns as they are."""
-    kept = classes(docs, least=least).where("keep").select(F.col("doc_id").alias("near_doc"), F.col("h").alias("near_h"))
+    # the second half of the hash and the id are enough to find a row again
+    kept = classes(docs, least=least).where("keep").select(F.col("doc_id").alias("near_doc"), F.col("g").alias("near_g")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col("doc_id").cast("long").alias("own_doc"), F.xxhash64(common.text_of()).alias("own_h"))
-    same = F.col("own_doc").eqNullSafe(F.col("near_doc")) & (F.col("own_h") == F.col("near_h"))
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("own_doc"), hashes(common.text_of())["g"].alias("own_g"))
+    same = F.col("own_doc").eqNullSafe(F.col("near_doc")) & (F.col("own_g") == F.col("near_g"))
     # equal rows are one class: the first of them stays
-    return keyed.join(kept.distinct(), same).dropDuplicates(["near_doc", "near_h"]).select("row.*")
+    return keyed.join(kept, same).dropDuplicates(["near_doc", "near_g"]).select("row.*")

@@ -51,7 +51,7 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5_bagminhash.classes(common.table(spark, sf_dir, "documents")).drop("h")
+    return op5_bagminhash.classes(common.table(spark, sf_dir, "documents")).drop("h", "g")
 
 
 def op6_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
