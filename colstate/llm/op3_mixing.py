@@ -8,8 +8,8 @@ of its own, by a seeded hash of the document; a leaf takes whole epochs while it
 them, then the longest prefix of the next one within the budget.
 
 Leaves are bounded by the tree, which is configuration; leaf totals are the only rows that the driver
-gets. A prefix is found without sorting a leaf: its hashes are counted into equal classes, and just
-the class in which the budget ends is ordered. So a leaf with a third of all rows costs no more in a
+gets. A prefix is found without sorting a leaf: its hashes are counted into equal classes, the class in which the budget ends
+into finer ones, and so on until a class is small; just that one is ordered. So a leaf with a third of all rows costs no more in a
 task than any other. Documents themselves aren't shuffled: selection is a filter against each
 leaf's last hash.
 
@@ -102,11 +102,14 @@ def mix(
     epochs: int = 2,
     seed: int = 7,
     tokens: Column | None = None,
-    class_bits: int = 12,
+    counts: DataFrame | None = None,
+    class_bits: int = 8,
+    class_rows: int = 4096,
 ) -> DataFrame:
     """The rows of ``docs (doc_id, text, lang, source, ...)`` in the mixture, with ``mix_leaf, mix_epoch`` added (or replaced, if there).
 
-    ``total``: tokens, or as a float their share of all tokens of the tree. ``domains``: source -> domain.
+    ``total``: tokens, or as a float their share of all tokens of the tree. ``domains``: source -> domain. Tokens are counted by
+    ``tokens``, or looked up in ``counts (digest, n_tokens)`` by the SHA-256 of the text; a text that isn't there has none.
     """
     spark = docs.sparkSession
     leaves = sorted(p for p in weights if len(p) == 3)
@@ -118,8 +121,12 @@ def mix(
     key_parts = [F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")]
     light = docs.withColumn("mix_leaf", _leaf(domains, leaves))
     light = light.where(F.col("mix_leaf").isin(*names)) if names else light.limit(0)
-    counted = light.select("mix_leaf", (tokens if tokens is not None else tokens_of()).alias("n"), *key_parts)
-    counted = counted.select("mix_leaf", "n", *[order_key(seed, F.lit(e)).alias(f"k{e}") for e in range(1, epochs + 1)])
+    keys = [order_key(seed, F.lit(e)).alias(f"k{e}") for e in range(1, epochs + 1)]
+    if counts is None:
+        counted = light.select("mix_leaf", (tokens if tokens is not None else tokens_of()).alias("n"), *key_parts).select("mix_leaf", "n", *keys)
+    else:  # digests and keys are shuffled, texts aren't
+        counted = light.select("mix_leaf", *key_parts).select("mix_leaf", F.unhex(F.sha2("text", 256)).alias("digest"), *keys)
+        counted = counted.join(counts, "digest", "left").withColumn("n", F.coalesce("n_tokens", F.lit(0).cast("long"))).drop("digest", "n_tokens")
     counted = common.written(counted, common.work_dir(spark, "op3") + "/counted")
     have = {names[r["mix_leaf"]]: r["n"] for r in counted.groupBy("mix_leaf").agg(F.sum("n").alias("n")).collect()}
     sought = int(total * sum(have.values())) if isinstance(total, float) else total
@@ -135,17 +142,24 @@ def mix(
     part = counted.join(plan, "mix_leaf").where((F.col("whole") < epochs) & (F.col("left") > 0))
     pick = reduce(lambda c, e: c.when(F.col("whole") == e, F.col(f"k{e + 1}")), range(1, epochs), F.when(F.col("whole") == 0, F.col("k1")))
     part = part.select("mix_leaf", "left", "n", pick.alias("k"))
-    part = part.withColumn("c", F.shiftright("k", 64 - class_bits))
-    sums = part.groupBy("mix_leaf", "c").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
-    up_to = Window.partitionBy("mix_leaf").orderBy("c")  # a row a class
-    ends = sums.withColumn("run", F.sum("n").over(up_to)).where("run > left")
-    ends = ends.groupBy("mix_leaf").agg(F.min_by(F.struct("c", (F.col("run") - F.col("n")).alias("before")), "c").alias("e"))
-    ends = ends.select("mix_leaf", "e.*")
-    inside = part.join(F.broadcast(ends), ["mix_leaf", "c"])  # of a leaf, one class
+    inside, bits, ends = part.withColumn("before", F.lit(0).cast("long")), 0, []
+    while True:
+        bits = min(bits + class_bits, 63)
+        sums = inside.groupBy("mix_leaf", F.shiftright("k", 64 - bits).alias("c")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("left").alias("left"), F.first("before").alias("before")
+        )
+        up_to = Window.partitionBy("mix_leaf").orderBy("c")  # a row a class, 2 ** class_bits at most
+        found = sums.withColumn("run", F.col("before") + F.sum("n").over(up_to)).where("run > left")
+        found = found.groupBy("mix_leaf").agg(F.min_by(F.struct("c", (F.col("run") - F.col("n")).alias("before"), "rows"), "c").alias("e"))
+        ends = [(x["mix_leaf"], x["c"], x["before"], x["rows"]) for x in found.select("mix_leaf", "e.*").collect()]  # a row a leaf
+        at = F.broadcast(spark.createDataFrame([x[:3] for x in ends], "mix_leaf string, c bigint, before bigint"))
+        inside = part.withColumn("c", F.shiftright("k", 64 - bits)).join(at, ["mix_leaf", "c"]).drop("c")
+        if bits == 63 or all(x[3] <= class_rows for x in ends):
+            break
     run = Window.partitionBy("mix_leaf").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("run", F.col("before") + F.sum("n").over(run)).where("run <= left")
-    cut_in = inside.groupBy("mix_leaf").agg(F.max("k").alias("k"))
-    cuts = {r["mix_leaf"]: (r["c"], r["k"]) for r in ends.join(cut_in, "mix_leaf", "left").collect()}  # a row a leaf
+    last = {x["mix_leaf"]: x["k"] for x in inside.groupBy("mix_leaf").agg(F.max("k").alias("k")).collect()}  # a row a leaf
+    cuts = {leaf: (c, last.get(leaf)) for leaf, c, *_ in ends}
 
     rules = []  # leaf, whole epochs, last hash of the next (null: none of it; the largest: all of it)
     for leaf, whole, left in ((r["mix_leaf"], r["whole"], r["left"]) for r in plan.collect()):
@@ -156,7 +170,7 @@ def mix(
             top = (1 << 63) - 1
         else:
             c, k = cuts[leaf]
-            top = k if k is not None else (c << (64 - class_bits)) - 1
+            top = k if k is not None else (c << (64 - bits)) - 1
             top = None if top < -(1 << 63) else top
         rules.append((leaf, whole, top))
     rules = F.broadcast(spark.createDataFrame(rules, "mix_leaf string, mix_whole int, mix_top bigint"))
