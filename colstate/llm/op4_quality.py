@@ -190,8 +190,8 @@ def score(
 ) -> DataFrame:
     """All columns of ``docs``, with ``q_document, q_site, q_quality, q_toxic, q_keep`` added (or replaced, if there).
 
-    Texts are read twice, for the sums by site and for the result; without ``with_text`` the result has
-    no text, each document's evidence is written instead and texts are read once.
+    The models read each text once: rows are written with their evidence, the sums by site read the evidence only. Without
+    ``with_text`` neither what is written nor the result has the text.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -209,8 +209,7 @@ def score(
     # the input's columns travel as one, so their names can't clash with those used here
     row = F.struct(*[F.col(f"`{c}`") for c in own_columns]).alias("row")
     keyed = docs.select(row, host.alias("q_host"), path.alias("q_path"), judge(common.text_of()).alias("q_judged"))
-    if not with_text:
-        keyed = common.written(keyed, common.work_dir(spark, "op4") + "/evidence")
+    keyed = common.written(keyed, common.work_dir(spark, "op4") + "/evidence")
     # a text without words: nan from the model, null from here on
     good = F.when(~F.isnan("q_judged.good"), F.col("q_judged.good"))
 
