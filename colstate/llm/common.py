@@ -12,8 +12,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -57,13 +58,18 @@ def written(df: DataFrame, path: str, partitions: int | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Schemes that Hadoop and Arrow call by different names.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "webhdfs": "hdfs"}
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI, on the driver or an executor."""
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def commit_bytes(uri: str, *parts: bytes) -> None:
@@ -99,27 +105,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ranges of an id -----------------------------------------------------------------------------
 
-
-def cuts_of(rows: DataFrame, column: str, ranges: int, most: int = 20_000) -> list[int]:
-    """Ids that cut the rows into about ``ranges`` ranges of equal counts (``most`` at most)."""
-    n = max(1, min(most, int(ranges)))
-    if n == 1:
-        return []
-    at = F.percentile_approx(column, [i / n for i in range(1, n)], max(10_000, 4 * n))
-    return sorted(set(rows.agg(at.alias("c")).first()["c"] or []))
-
-
-def range_of(column: str, cuts: list[int]):
-    """How many of the cuts are at most the id, -1 for null; the cuts are searched in two steps."""
-    if not cuts:
-        return F.when(F.col(column).isNull(), -1).otherwise(0)
-    g = int(np.ceil(np.sqrt(len(cuts))))
-    groups = [cuts[i : i + g] for i in range(0, len(cuts), g)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    up_to = lambda a: F.size(F.filter(a, lambda c: c <= F.col(column)))
-    group = up_to(longs([x[0] for x in groups]))
-    inside = (group - 1) * g + up_to(F.element_at(F.array(*map(longs, groups)), group))
-    return F.when(F.col(column).isNull(), -1).when(group == 0, 0).otherwise(inside)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+#: Points that a range's bytes are measured by.
+_POINTS = 16
+
+
+def beginning(text: Column) -> Column:
+    """The first 7 bytes of a text as a number, in the order of texts."""
+    return F.conv(F.hex(F.rpad(F.substring(F.encode(text, "UTF-8"), 1, 7), 7, b"\0")), 16, 10).cast("long")
+
+
+def place(id_: Column, tie: Column) -> Column:
+    """A row's place in the order of ids, as two numbers: null ids come first, rows of equal ids in the order of ``tie``."""
+    first = F.coalesce(id_, F.lit(_LEAST))
+    # a null id shares its number with the least id there is; that one's rows come after it
+    return F.struct(first.alias("id"), F.when(id_ == _LEAST, _MOST).otherwise(tie).alias("tie"))
+
+
+class Ranges:
+    """Ranges of places of about equal bytes. ``ends`` are the last places of all ranges but the last one; each is that of a row."""
+
+    def __init__(self, spark: SparkSession, ends: list[tuple[int, int]]):
+        self.ends = ends
+        self._shared = spark.sparkContext.broadcast(np.array(ends, np.int64).reshape(-1, 2).T)  # 16 bytes a range
+
+    def __len__(self) -> int:
+        return len(self.ends) + 1
+
+    def of(self, where: Column) -> Column:
+        """``struct(part, last)``: the number of a place's range, and whether the place is that range's end."""
+        if not self.ends:
+            return F.struct(F.lit(0).alias("part"), F.lit(False).alias("last"))
+        shared = self._shared
+
+        @F.pandas_udf("part int, last boolean")
+        def find(ids: pd.Series, ties: pd.Series) -> pd.DataFrame:
+            at, among = shared.value
+            x, y = ids.to_numpy(), ties.to_numpy()
+            part, until = np.searchsorted(at, x), np.searchsorted(at, x, "right")
+            last = np.zeros(len(x), bool)
+            for v in np.unique(x[until > part]):  # ids in which ranges end
+                i = np.nonzero(x == v)[0]
+                a, b = part[i[0]], until[i[0]]
+                part[i] = a + np.searchsorted(among[a:b], y[i])
+                last[i] = np.isin(y[i], among[a:b])
+            return pd.DataFrame({"part": part.astype(np.int32), "last": last})
+
+        return find(where["id"], where["tie"])
+
+
+def ranges_of(rows: DataFrame, range_bytes: int) -> Ranges:
+    """Cut the rows ``(at, nbytes)`` into ranges of about ``range_bytes``; ``at`` is a place().
+
+    Each row counts as so many points as its bytes have a 16th of a range, a part of a point by a hash; what has points is
+    sorted and summed in parallel, and a range ends at every 16th point. The ends depend on the rows
+    alone, not on how they were dealt out; the driver gets a row for each range.
+    """
+    spark = rows.sparkSession
+    luck = F.shiftrightunsigned(F.xxhash64("at", F.lit(23)), 11) * F.lit(2.0**-53)
+    points = F.floor(F.col("nbytes") / max(1.0, range_bytes / _POINTS) + luck)
+    drawn = rows.select("at", points.alias("points")).where("points > 0")
+    drawn = drawn.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "at")
+    drawn = written(drawn.withColumn("task", F.spark_partition_id()), work_dir(spark, "ranges") + "/points")
+    sums = sorted((r["task"], r["n"]) for r in drawn.groupBy("task").agg(F.sum("points").alias("n")).collect())
+    before, have = [], 0  # a row a task
+    for task, n in sums:
+        before.append((task, have))
+        have += n
+    if have <= _POINTS:
+        return Ranges(spark, [])
+    drawn = drawn.join(F.broadcast(spark.createDataFrame(before, "task int, have bigint")), "task")
+    until = F.col("have") + F.sum("points").over(Window.partitionBy("task").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    step = lambda c: F.floor(c / _POINTS)
+    ends = drawn.withColumn("until", until).where((step(F.col("until")) > step(F.col("until") - F.col("points"))) & (F.col("until") < have))
+    return Ranges(spark, sorted({(r["at"]["id"], r["at"]["tie"]) for r in ends.select("at").collect()}))
 
 
 # 64-bit mixing -------------------------------------------------------------------------------

@@ -127,33 +127,28 @@ def edited_likeness(docs: DataFrame, *, slots: int = SLOTS, bytes_per_range: int
     """Fingerprints of ``docs (doc_id, text)`` and of their edited texts (see the contract's columns).
 
     The edit needs the next document in descending order of (doc_id, text), null ids last; after
-    the last comes the first. Documents are dealt into ranges of ids of about equal bytes; a
-    range's first row needs the last row of the range before, so that row is sent to both. Ranges
-    hold whole ids, texts of one row are the most that a task keeps besides an Arrow batch.
+    the last comes the first. Documents are dealt into ranges of about equal bytes; a
+    range's first row needs the last row of the range before, so that row is sent to both. Ranges may end within
+    an id. Texts of one row are the most that a task keeps besides an Arrow batch.
     """
     common.tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    sizes = rows.agg(F.sum(F.octet_length("text") + 64).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if not sizes["n"]:
+    rows = rows.withColumn("at", common.place(F.col("doc_id"), common.beginning(F.col("text"))))
+    sizes = rows.agg(F.sum(F.octet_length("text") + 64).alias("b"), F.max("at").alias("top")).first()
+    if sizes["top"] is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small inputs keep all cores busy
-    cuts = common.cuts_of(rows, "doc_id", max(least, -(-sizes["b"] // bytes_per_range)))
-    placed = rows.withColumn("part", common.range_of("doc_id", cuts))
-    # the largest id of each range: a row for each range
-    tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops)
-    after = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    # by range, -1 and up: the range that comes next and the largest id
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    at = F.col("part") + 1
-    to = F.get(longs([after.get(p) for p in range(-1, order[-1] + 1)]), at).cast("int")
-    is_top = F.col("doc_id").eqNullSafe(F.get(longs([tops.get(p) for p in range(-1, order[-1] + 1)]), at))
-    here = F.struct(F.col("part").alias("part"), F.lit(1).alias("own"))
+    ranges = common.ranges_of(rows.select("at", (F.octet_length("text") + 64).alias("nbytes")), min(bytes_per_range, -(-sizes["b"] // least)))
+    placed = rows.select("doc_id", "text", "at", ranges.of(F.col("at")).alias("r"))
+    is_top = (F.col("at.id") == sizes["top"]["id"]) & (F.col("at.tie") == sizes["top"]["tie"])
+    # the end of a range goes to the next one too, that of the last to the first
+    to = F.when(is_top, 0).when(F.col("r.last"), F.col("r.part") + 1)
+    here = F.struct(F.col("r.part").alias("part"), F.lit(1).alias("own"))
     next_range = F.struct(to.alias("part"), F.lit(0).alias("own"))
-    twice = placed.withColumn("to", F.explode(F.when(is_top, F.array(here, next_range)).otherwise(F.array(here))))
-    dealt = twice.select("to.part", "to.own", "doc_id", "text").repartition(4 * len(order), "part")
+    twice = placed.withColumn("to", F.explode(F.when(to.isNotNull(), F.array(here, next_range)).otherwise(F.array(here))))
+    dealt = twice.select("to.part", "to.own", "doc_id", "text", "at").repartitionById(len(ranges), "part")
     # in a range: rows from before (own = 0) first, then ascending
-    dealt = dealt.sortWithinPartitions("part", "own", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.sortWithinPartitions("part", "own", "at", "text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # range, text and slots of the row before

@@ -1,10 +1,10 @@
 """Deterministic sharded WARC writer, and the reader of its archives.
 
-Records are dealt into ranges of page_id and sorted within each; a task writes a range as a row of
+Records are dealt into ranges of page_id of about equal bytes and sorted within each; a task writes a range as a row of
 ``.warc.gz`` files, one gzip member a record, and rolls to the next file at a compressed size. Names,
 headers, digests and dates come from the content alone, so a second run or a task that runs again
 writes the same bytes. Files get their names by renaming when complete; ``MANIFEST.json``, written
-last, lists them with sizes and digests, and only listed files are read.
+last, lists them with sizes and digests; only listed files are read, and they must have these sizes and digests.
 
 Of records with equal payloads of at least ``revisit_bytes``, that with the largest page_id is the
 response; the others are revisits that refer to it. Smaller payloads are always responses.
@@ -23,7 +23,7 @@ import io
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -116,21 +116,22 @@ def write_warc(
     common.tune(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html"))
-    total = rows.agg(F.sum(F.col("n") + 256).alias("b")).first()["b"] or 0
-    cuts = common.cuts_of(rows, "page_id", -(-total // range_bytes))
-    placed = rows.withColumn("part", common.range_of("page_id", cuts))
+    rows = rows.withColumn("at", common.place(F.col("page_id"), common.beginning(F.col("sha1"))))
+    ranges = common.ranges_of(rows.select("at", (F.col("n") + 256).alias("nbytes")), range_bytes)
 
     # which payloads come more than once: no payload is moved for this. For each page with such a
     # payload a mark goes ahead of the page, to the task that writes it.
     light = rows.where(F.col("n") >= revisit_bytes).select("page_id", "sha1")
     tops = light.groupBy("sha1").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    marks = light.distinct().join(tops.select("sha1", "top"), "sha1").select(
-        common.range_of("page_id", cuts).alias("part"), "page_id", "sha1", F.lit(0).alias("kind"), "top",
+    tops = common.written(tops.select("sha1", "top"), f"{root}.work/tops")  # so that the join's hot partitions can be split
+    marks = light.distinct().join(tops, "sha1").select(
+        common.place(F.col("page_id"), common.beginning(F.col("sha1"))).alias("at"), "page_id", "sha1", F.lit(0).alias("kind"), "top",
         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
     )
-    whole = placed.select("part", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("top"), "url", "html")
-    dealt = marks.unionByName(whole).repartition(4 * (len(cuts) + 1), "part")
-    dealt = dealt.sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "sha1", "kind", F.col("url").asc_nulls_first())
+    whole = rows.select("at", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("top"), "url", "html")
+    dealt = marks.unionByName(whole).withColumn("part", ranges.of(F.col("at"))["part"]).repartitionById(len(ranges), "part")
+    dealt = dealt.sortWithinPartitions("part", "at", "sha1", "kind", F.col("url").asc_nulls_first())
+    dealt = dealt.select("part", "page_id", "sha1", "kind", "top", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, part, mark, before, nth = None, None, None, None, 0
@@ -161,28 +162,43 @@ def write_warc(
     files = sorted((r.asDict() for r in dealt.mapInArrow(write, kind).collect()), key=lambda r: r["name"])  # a row a file
     manifest = {"format": "WARC/1.1", "date": date, "files": files}
     common.commit_bytes(f"{root}/MANIFEST.json", json.dumps(manifest, indent=1).encode())
+    common._quiet(f"{root}.work")
     return manifest
 
 
 # reading --------------------------------------------------------------------------------------
 
 
-def members(f) -> Iterator[bytes]:
-    """The members of a gzip stream, one by one."""
-    z, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        data = rest or f.read(1 << 20)
-        rest = b""
-        if not data:
-            break
-        parts.append(z.decompress(data))
-        if z.eof:
-            yield b"".join(parts)
-            rest, parts, z = z.unused_data, [], zlib.decompressobj(31)
-    if any(parts):
+def members(blocks: Iterable[bytes], step: int = 1 << 14) -> Iterator[bytes]:
+    """The members of a gzip stream, one by one. What follows a member is copied when it ends, so blocks are fed in small steps."""
+    z, parts, fed = zlib.decompressobj(31), [], False
+    for block in blocks:
+        view, at = memoryview(block), 0
+        while at < len(view):
+            piece = view[at : at + step]
+            parts.append(z.decompress(piece))
+            at, fed = at + len(piece), True
+            if z.eof:
+                at -= len(z.unused_data)
+                yield b"".join(parts)
+                z, parts, fed = zlib.decompressobj(31), [], False
+    if fed:
         raise ValueError("the archive ends within a record")
 
 
+class _Checked:
+    """A file's blocks, and their length and digest when all are read."""
+
+    def __init__(self, f):
+        self.f, self.size, self.sha = f, 0, hashlib.sha256()
+
+    def __iter__(self) -> Iterator[bytes]:
+        while data := self.f.read(1 << 20):
+            self.size += len(data)
+            self.sha.update(data)
+            yield data
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
@@ -229,14 +245,18 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
                 fs, path = common.filesystem(f"{root}/{entry['name']}")
                 rows = []
                 with fs.open_input_stream(path, compression=None) as f:
-                    for data in members(f):
+                    blocks = _Checked(f)
+                    for data in members(blocks):
                         if (r := row_of(*parse(data))) is not None:
                             rows.append(r)
+                if (blocks.size, blocks.sha.hexdigest()) != (entry["bytes"], entry["sha256"]):
+                    raise ValueError(f"{entry['name']} isn't the file that the manifest lists")
                 if len(rows) != entry["records"]:
                     raise ValueError(f"{entry['name']}: {entry['records']} records expected, {len(rows)} found")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    todo = spark.createDataFrame([(x["name"], x["records"]) for x in files], "name string, records bigint")
+    entries = [(x["name"], x["records"], x["bytes"], x["sha256"]) for x in files]
+    todo = spark.createDataFrame(entries, "name string, records bigint, bytes bigint, sha256 string")
     return todo.repartition(len(files)).mapInArrow(read, READ_SCHEMA)
 
 

@@ -19,8 +19,8 @@ pack without the chunks that an earlier shard owns, and the recipes are written.
 written under temporary names and renamed, tasks can be run again at any step.
 
 Defined cases: a null text is empty and has just the end id; rows with null ids come first; rows with
-equal ids are ordered by text. An oversized range (one id with a huge share of the rows) rolls over
-to further shards, so a task's memory has a bound of a shard and a document.
+equal ids are ordered by text, and ranges may end within them. A range of more bytes rolls over
+to further shards, so a task's memory has a bound of a shard and a document, whatever a range's size.
 """
 
 from __future__ import annotations
@@ -196,22 +196,20 @@ def write_store(
     *,
     end_id: int = 0,
     shard_bytes: int = 16 << 20,
+    range_bytes: int = 16 << 20,
     mean_chunk: int = 256,
 ) -> dict:
-    """Encode ``docs (doc_id, text)`` into a new store at ``root``; the manifest."""
+    """Encode ``docs (doc_id, text)`` into a new store at ``root``; the manifest. A task takes a range of ``range_bytes`` of text."""
     spark = docs.sparkSession
     common.tune(spark)
     version = tokenizer.version(definition)
     shared = spark.sparkContext.broadcast(definition)  # one vocabulary, a few MB
     width = 2 if max(max(json.loads(definition)["model"]["vocab"].values()), end_id) < 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
-    ranges = common.cuts_of(rows, "doc_id", -(-total // shard_bytes))
-    dealt = (
-        rows.withColumn("part", common.range_of("doc_id", ranges))
-        .repartition(4 * (len(ranges) + 1), "part")  # so that few ranges share a task
-        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    )
+    at = common.place(F.col("doc_id"), common.beginning(F.col("text"))).alias("at")
+    ranges = common.ranges_of(rows.select(at, (F.octet_length("text") + 16).alias("nbytes")), range_bytes)
+    dealt = rows.select("doc_id", "text", at).withColumn("part", ranges.of(F.col("at"))["part"])
+    dealt = dealt.repartitionById(len(ranges), "part").sortWithinPartitions("part", "at", "text").drop("at")
 
     def spool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, open_ = tokenizer.encoder(version, shared.value), None, None
