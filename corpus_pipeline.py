@@ -3,14 +3,24 @@
 Each stage works on all that the stage before has kept, which is written as Parquet to the shared
 folder and read again. All but the last return the columns of ``documents``; the last one writes the
 token store and returns what its files hold.
+
+Defined cases, of each stage: null and empty texts, null languages and sources and further columns are allowed for, and columns that
+stay do so unchanged, whatever their names; an empty table gives an empty one. A text without words has its site's quality; of
+texts that are equal (null and empty ones too) one row stays, that with the least doc_id, of rows equal in both any one; a null
+doc_id ranks last. Rows of equal ids are judged one by one. A document may come twice out of the mixture, and is then in
+the token files twice. ``labels`` and ``benchmark`` may be empty: then nothing is known against any document.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colstate.llm import (
     common,
+    op1_token_counts,
     op3_mixing,
     op4_quality,
     op5_bagminhash,
@@ -20,10 +30,23 @@ from colstate.llm import (
 )
 
 
+_ADDED = re.compile("(q|mix)_.*")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """Columns named like those that an operator adds, under other names for the time of a stage."""
+    return docs.withColumnsRenamed({c: f"own{i}_{c}" for i, c in enumerate(docs.columns) if _ADDED.fullmatch(c)})
+
+
+def _back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that came into the stage, under their names."""
+    return docs.select(*[F.col(f"`own{i}_{c}`" if _ADDED.fullmatch(c) else f"`{c}`").alias(c) for i, c in enumerate(columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, together with its sites, takes for good prose that isn't toxic."""
-    model = op4_quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return op4_quality.score(docs, model).where("q_keep").select(*docs.columns)
+    model, own = op4_quality.fit(docs, common.table(spark, sf_dir, "labels")), docs.columns
+    return _back(op4_quality.score(_aside(docs), model).where("q_keep"), own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +60,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens that are left, dealt by the production weights, each document at most twice."""
-    mixed = op3_mixing.mix(docs, op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.9, epochs=2)
-    return mixed.select(*docs.columns)
+    """Nine tenths of the tokens that are left, dealt by the production weights, each document at most twice.
+
+    Tokens are those of the token files that follow.
+    """
+    counts = op1_token_counts.counts_of(docs, queries.definition(), common.work_dir(spark, "pipeline-counts") + "/cache")
+    mixed = op3_mixing.mix(_aside(docs), op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.9, epochs=2, counts=counts)
+    return _back(mixed, docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
