@@ -22,10 +22,12 @@ COMMANDS: dict[str, Callable] = {
     "sample": lambda c, a: c.sample(a.workflow, a.n),
     "reset": lambda c, a: c.reset(a.workflow),
     "lifecycle": lambda c, a: c.lifecycle(*c.workflows()["dependency_order"][:2]),
+    "matches": lambda c, a: c.match_report(a.workflow),
+    "take-up": lambda c, a: c.take_up(),
 }
 
 #: The method of each route: what changes datasets is posted.
-METHODS = {name: "GET" if name in ("workflows", "status", "sample") else "POST" for name in COMMANDS}
+METHODS = {name: "GET" if name in ("workflows", "status", "sample", "matches") else "POST" for name in COMMANDS}
 
 
 def _truth(text: str | None) -> bool:
@@ -106,17 +108,23 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--count", type=int, default=500)
     p.add_argument("--updates", type=int, default=50)
     p.add_argument("--n", type=int, default=5)
+    p.add_argument("--host", default="127.0.0.1", help="where serve listens; 0.0.0.0 for all interfaces")
     p.add_argument("--port", type=int, default=8000)
+    p.add_argument("--poll", type=float, default=5, help="seconds between two looks of the worker for runs to take up")
     p.add_argument("--durable", action="store_true", help="converge as a run that can be taken up again")
     p.add_argument("--run", help="id of the run to take up again")
-    p.add_argument("command", choices=[*COMMANDS, "serve"])
+    p.add_argument("command", choices=[*COMMANDS, "serve", "worker"])
     a = p.parse_args(argv)
     c = Colstate.from_dir(SparkSession.builder.appName("colstate").getOrCreate(), a.workflows, a.root)
     if a.workflow and a.workflow not in c.definitions:
         part = [n for n in c.definitions if a.workflow in n]
         a.workflow = part[0] if len(part) == 1 else a.workflow
     if a.command == "serve":
-        serve(c, a.port).serve_forever()
+        serve(c, a.port, a.host).serve_forever()
+    while a.command == "worker":
+        if (done := c.take_up())["runs"]:
+            print(json.dumps(done, default=str), flush=True)
+        time.sleep(a.poll)
     print(json.dumps(COMMANDS[a.command](c, a), default=str, indent=1))
 
 

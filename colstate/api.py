@@ -11,7 +11,7 @@ from colstate.functions.text import table_name
 from colstate.operators.locks import Leases
 from colstate.plans import graph
 from colstate.plans.engine import Engine, Result, converge_all
-from colstate.plans.journal import Journal
+from colstate.plans.journal import Journal, open_runs
 from colstate.plans.model import Workflow, load_dir
 from colstate.sources import records
 from colstate.sources.jdbc import JdbcTable
@@ -44,6 +44,19 @@ def open_table(spark: SparkSession, workflow: Workflow, root: str) -> SnapshotTa
     return SnapshotTable(spark, dataset_uri(root, workflow.dataset_path), workflow.primary_key)
 
 
+def descriptor(table: SnapshotTable | JdbcTable) -> dict:
+    """What another process needs to open the same dataset."""
+    if isinstance(table, JdbcTable):
+        return {"backend": "jdbc", "url": table.url, "name": table.name, "primary_key": table.primary_key, "driver": table.driver}
+    return {"backend": "snapshot", "path": table.path, "primary_key": table.primary_key}
+
+
+def reopen(spark: SparkSession, d: dict) -> SnapshotTable | JdbcTable:
+    if d["backend"] == "jdbc":
+        return JdbcTable(spark, d["url"], d["name"], d["primary_key"], driver=d["driver"])
+    return SnapshotTable(spark, d["path"], d["primary_key"])
+
+
 def open_leases(spark: SparkSession) -> Leases | None:
     """Row leases in the folder that ``COLSTATE_LEASES`` names; None without it, or if it can't be reached."""
     path = os.environ.get("COLSTATE_LEASES")
@@ -128,18 +141,48 @@ class Colstate:
         return {"action": "upsert", "workflow": name, "new": total - updated, "updates": updated, "total_records": table.count_rows(), "fragments": table.fragmentation()}
 
     def run(self, run: str | None = None) -> Journal:
-        """The journal of a durable run, a new one without an id; it lies beside the datasets if no other folder was named."""
-        return Journal(self.spark, self.journal or f"{self.root.rstrip('/')}/_runs", run)
+        """The journal of a durable run, a new one without an id."""
+        return Journal(self.spark, self.runs_path, run)
+
+    @property
+    def runs_path(self) -> str:
+        """Beside the datasets if no other folder was named."""
+        return self.journal or f"{self.root.rstrip('/')}/_runs"
+
+    def take_up(self) -> dict:
+        """Go on with all runs that were begun and haven't ended. Of two processes that go on with the same run, each computes only
+        what is missing when it gets there, and commits only to the version that it has read."""
+        out = {}
+        for run in open_runs(self.spark, self.runs_path):
+            log = self.run(run)
+            mine = {n: self.engines[n] for n in log.plan() if n in self.engines}
+            out[run] = {n: self._told(r) for n, r in converge_all(mine, log).items()}
+        return {"runs": out}
+
+    def match_report(self, workflow: str | None = None, column: str = "linkedin_match", matched: int = 5, unmatched: int = 3) -> dict:
+        """How many rows have a value in a lookup's column, and the first ones with and without."""
+        name = self._name(workflow)
+        v = self.tables[name]._need()
+        rows, hit = self.tables[name].read_version(v), F.col(column).isNotNull()
+        n = rows.agg(F.count_if(hit).alias("n")).first()["n"]
+        first = lambda which, k: [r.asDict(recursive=True) for r in rows.where(which).orderBy(SEQ).limit(k).drop(SEQ).collect()]
+        return {"rows": v.rows, "matched": n, "unmatched": v.rows - n, "first_matched": first(hit, matched), "first_unmatched": first(~hit, unmatched)}
+
+    def _begun(self, run: str | None, names: list[str]) -> Journal:
+        log = self.run(run)
+        if not log.plan():
+            log.begin(names)
+        return log
 
     def converge(self, workflow: str | None = None, durable: bool = False, run: str | None = None) -> dict:
         """Compute what is missing. A durable run has an id, by which it is taken up again after a crash."""
         name = self._name(workflow)
-        log = self.run(run) if durable or run else None
+        log = self._begun(run, [name]) if durable or run else None
         out = {"workflow": name} | self._told(self.engines[name].converge(journal=log))
         return out | {"run_id": log.run} if log else out
 
     def converge_all(self, durable: bool = False, run: str | None = None) -> dict:
-        log = self.run(run) if durable or run else None
+        log = self._begun(run, list(self.engines)) if durable or run else None
         results = converge_all(self.engines, log)
         out = {"dependency_order": list(results), "results": {n: self._told(r) for n, r in results.items()}}
         return out | {"run_id": log.run} if log else out

@@ -61,6 +61,18 @@ class Journal:
         n = len(self.entries(workflow))  # a pass that is taken up again adds to what it had done
         self._put(f"{workflow}-{number:03d}-{level:03d}-{n:04d}.json", body)
 
+    def begin(self, workflows: list[str]) -> None:
+        """What the run is about, so that another process can take it up."""
+        self._put("run.plan", {"workflows": workflows})
+
+    def plan(self) -> list[str]:
+        path = self._jvm_path(f"{self.path}/run.plan")
+        return self._get(path)["workflows"] if self._fs.exists(path) else []
+
+    def open(self) -> bool:
+        """Whether a workflow of the run hasn't ended."""
+        return any(self.result(w) is None for w in self.plan())
+
     def finish(self, workflow: str, result: dict) -> None:
         self._put(f"{workflow}.result", result)
 
@@ -76,3 +88,11 @@ class Journal:
         found = [self._get(p) for p in paths if p.getName().endswith(".json")]
         found = [e for e in found if workflow in (None, e["workflow"])]
         return sorted(found, key=lambda e: (e["workflow"], e["pass"], e["level"]))
+
+
+def open_runs(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the runs that were begun and haven't ended."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n for n in names if Journal(spark, path, n).open())

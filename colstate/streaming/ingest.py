@@ -56,6 +56,11 @@ def start(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def appending(table: SnapshotTable) -> Callable[[DataFrame], None]:
+    """A sink of start_enriching: each micro-batch is appended to a dataset."""
+    return lambda df: table.append(df)
+
+
 def start_enriching(bodies: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str, interval: str | None = "500 milliseconds") -> StreamingQuery:
     """Single serialised records, enriched and appended by micro-batch."""
 

@@ -9,8 +9,8 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
-from colstate.__main__ import serve, wait_ready
-from colstate.api import Colstate, open_leases
+from colstate.__main__ import main, serve, wait_ready
+from colstate.api import Colstate, descriptor, open_leases, reopen
 from colstate.operators import lookup, processors
 from colstate.plans import journal
 from colstate.plans.engine import Engine
@@ -18,6 +18,7 @@ from colstate.plans.model import load, load_dir, parse
 from colstate.sources import records
 from colstate.sources.jdbc import JdbcTable
 from colstate.sources.snapshots import SnapshotTable
+from colstate.streaming import ingest
 
 ONE = """
 name: person-enrichment
@@ -277,5 +278,51 @@ def test_database(spark, tmp_path, monkeypatch):
         Colstate(spark, [parse(load_dict(ONE))], f"file://{tmp_path}/none")
 
 
+def test_runs_are_taken_up(spark, folder):
+    """A run that another process began: begun, cut off after its first workflow, taken up as a whole."""
+    root = f"file://{folder}/runs"
+    c = Colstate.from_dir(spark, folder / "w", root)
+    c.tables["person-enrichment"].append(spark.createDataFrame(PEOPLE, RAW))
+    c.tables["user-enrichment"].append(spark.createDataFrame([("u", "Ada Lovelacex", "r"), ("v", "Zoe", "r")], "github_username string, name string, repos string"))
+    log = c._begun("cut", list(c.engines))
+    c.engines["person-enrichment"].converge(journal=log)
+    assert journal.open_runs(spark, c.runs_path) == ["cut"]
+    done = Colstate.from_dir(spark, folder / "w", root).take_up()["runs"]["cut"]
+    assert done["person-enrichment"]["columns_computed"] == ["cleaned_name"] and set(done["user-enrichment"]["columns_computed"]) == {"cleaned_name", "linkedin_match"}
+    assert c.take_up() == {"runs": {}} and journal.open_runs(spark, f"{root}/nowhere") == []
+    report = c.match_report("user-enrichment")
+    assert (report["rows"], report["matched"], report["unmatched"]) == (2, 1, 1)
+    assert [r["github_username"] for r in report["first_matched"] + report["first_unmatched"]] == ["u", "v"]
+    same = reopen(spark, json.loads(json.dumps(descriptor(c.tables["user-enrichment"]))))
+    assert same.count_rows() == 2 and same.primary_key == "github_username"
+    db = JdbcTable(spark, "derby:memory:colstate;create=true", "x", "id")
+    assert vars(reopen(spark, descriptor(db))) == vars(db)
+
+
+def test_command_line(spark, folder, capsys):
+    args = ["--workflows", str(folder / "w"), "--root", f"file://{folder}/cli"]
+    main([*args, "--workflow", "person", "--count", "7", "ingest"])
+    main([*args, "--workflow", "person", "converge"])
+    main([*args, "--workflow", "person", "--n", "2", "sample"])
+    main([*args, "lifecycle"])
+    said = capsys.readouterr().out
+    assert '"count": 7' in said and '"columns_computed"' in said and "dependency_order" in said
+    with pytest.raises(SystemExit):
+        main([*args, "nothing"])
+
+
+def test_enriching_stream(spark, tmp_path):
+    """Serialised records, a file each, enriched and appended by micro-batch."""
+    user = records.message_class("UserData")
+    for k in range(3):
+        body = user(id=str(k), name=f"n{k}", location="l").SerializeToString()
+        spark.createDataFrame([(body,), (None,)], "body binary").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    table = SnapshotTable(spark, f"file://{tmp_path}/out", "id")
+    stream = ingest.files(spark, f"file://{tmp_path}/in", spark.read.parquet(f"file://{tmp_path}/in").schema, max_files=1)
+    ingest.start_enriching(stream, ingest.appending(table), f"file://{tmp_path}/ck", None).awaitTermination(120)
+    got = sorted((r.id, r.summary, r.status) for r in table.read().collect())
+    assert got == [(str(k), f"Enriched n{k} from l", "processed") for k in range(3)] and table.fragmentation() == 3
+
+
 def test_load_dir(folder):
     assert list(load_dir(folder / "w")) == ["user-enrichment", "person-enrichment"]
