@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from colstate.llm import (
     common,
-    op1_token_counts,
     op3_mixing,
     op4_quality,
     op5_bagminhash,
@@ -62,10 +61,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens that are left, dealt by the production weights, each document at most twice.
 
-    Tokens are those of the token files that follow.
+    Tokens are parted by white space here.
     """
-    counts = op1_token_counts.counts_of(docs, queries.definition(), common.work_dir(spark, "pipeline-counts") + "/cache")
-    mixed = op3_mixing.mix(_aside(docs), op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.9, epochs=2, counts=counts)
+    mixed = op3_mixing.mix(_aside(docs), op3_mixing.production_weights(), op3_mixing.DOMAINS, total=0.9, epochs=2)
     return _back(mixed, docs.columns)
 
 
