@@ -112,7 +112,7 @@ _POINTS = 16
 
 def beginning(text: Column) -> Column:
     """The first 7 bytes of a text as a number, in the order of texts."""
-    return F.conv(F.hex(F.rpad(F.substring(F.encode(text, "UTF-8"), 1, 7), 7, b"\0")), 16, 10).cast("long")
+    return F.conv(F.hex(F.rpad(F.substring(F.encode(F.substring(text, 1, 7), "UTF-8"), 1, 7), 7, b"\0")), 16, 10).cast("long")
 
 
 def place(id_: Column, tie: Column) -> Column:

@@ -148,7 +148,7 @@ def edited_likeness(docs: DataFrame, *, slots: int = SLOTS, bytes_per_range: int
     twice = placed.withColumn("to", F.explode(F.when(to.isNotNull(), F.array(here, next_range)).otherwise(F.array(here))))
     dealt = twice.select("to.part", "to.own", "doc_id", "text", "at").repartitionById(len(ranges), "part")
     # in a range: rows from before (own = 0) first, then ascending
-    dealt = dealt.sortWithinPartitions("part", "own", "at", "text").drop("at")
+    dealt = dealt.sortWithinPartitions("own", "at.id", "at.tie", "text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # range, text and slots of the row before

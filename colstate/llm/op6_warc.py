@@ -130,7 +130,7 @@ def write_warc(
     )
     whole = rows.select("at", "page_id", "sha1", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("top"), "url", "html")
     dealt = marks.unionByName(whole).withColumn("part", ranges.of(F.col("at"))["part"]).repartitionById(len(ranges), "part")
-    dealt = dealt.sortWithinPartitions("part", "at", "sha1", "kind", F.col("url").asc_nulls_first())
+    dealt = dealt.sortWithinPartitions("at.id", "at.tie", "sha1", "kind", F.col("url").asc_nulls_first())
     dealt = dealt.select("part", "page_id", "sha1", "kind", "top", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,7 +209,7 @@ def write_store(
     at = common.place(F.col("doc_id"), common.beginning(F.col("text"))).alias("at")
     ranges = common.ranges_of(rows.select(at, (F.octet_length("text") + 16).alias("nbytes")), range_bytes)
     dealt = rows.select("doc_id", "text", at).withColumn("part", ranges.of(F.col("at"))["part"])
-    dealt = dealt.repartitionById(len(ranges), "part").sortWithinPartitions("part", "at", "text").drop("at")
+    dealt = dealt.repartitionById(len(ranges), "part").sortWithinPartitions("at.id", "at.tie", "text").drop("at")
 
     def spool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, open_ = tokenizer.encoder(version, shared.value), None, None
