@@ -1,7 +1,7 @@
 """Diff and converge: find derived columns that are missing or have NULLs, compute just these, repeat.
 
 A pass goes through the column levels. All ready tasks of a level become one plan: native expressions are
-one projection, pandas UDFs run on the rows that need them and come back by ``_seq``, lookups are joins;
+one projection, pandas UDFs run in place on the rows that need them, lookups are joins by ``_seq``;
 the level is one commit. Of a dataset whose columns all exist, just the fragments with NULLs in them are written anew.
 If that plan fails, its columns are tried one by one, so that only the
 faulty ones fail. Counters come from the diff and the commits, not from extra scans.
@@ -237,7 +237,7 @@ class Engine:
         if taken is not None:
             rows = rows.join(taken, F.col(self.workflow.primary_key).cast("string") == F.col("_id"), "left").drop("_id")
             mine = F.col("_mine").isNotNull()
-        fields, native, count = list(base.schema.fields), {}, 0
+        fields, native, deltas, count = list(base.schema.fields), {}, [], 0
         names = [f.name for f in fields]
         for t in tasks:
             c, p = t.column, processors.get(t.column.processor)
@@ -251,20 +251,30 @@ class Engine:
             if p.kind == "expression":
                 native[c.name] = F.when(need, p.run(*inputs)).otherwise(F.col(c.name))
                 continue
-            # the others see only the rows that need them, and come back by _seq
+            if p.kind == "vectorised":
+                # in place, as what a join by _seq would bring back is many times its files' size, by which Spark decides to broadcast it
+                if c.scaling.parallelism > 1:
+                    rows = rows.repartition(c.scaling.parallelism)
+                if taken is None and c.name not in base.schema.names:
+                    native[c.name] = p.run(*inputs).cast(p.type)
+                    continue
+                # just the rows that need it go to Python
+                rows = rows.where(need).withColumn(f"_new_{c.name}", p.run(*inputs)).unionByName(rows.where(~need), allowMissingColumns=True)
+                native[c.name] = F.when(need, F.col(f"_new_{c.name}")).otherwise(F.col(c.name))
+                continue
+            # a relation sees only the rows that need it, which come back by _seq
             dirty = self.table.read_version(base, fragments)
             if t.mode == FILL_NULLS:
                 dirty = dirty.where(F.col(c.name).isNull())
             dirty = dirty.select(SEQ, *dict.fromkeys(c.derived_from))
             if c.scaling.parallelism > 1:
                 dirty = dirty.repartition(c.scaling.parallelism)
-            if p.kind == "vectorised":
-                delta = dirty.select(SEQ, p.run(*inputs).alias("_value"))
-            else:
-                delta = p.run(dirty, c, self.catalogue, SEQ).select(SEQ, F.col(c.name).alias("_value"))
+            delta = p.run(dirty, c, self.catalogue, SEQ).select(SEQ, F.col(c.name).alias("_value"))
             delta = delta.withColumnRenamed("_value", f"_new_{c.name}")
-            rows = rows.join(delta, SEQ, "left")
+            deltas.append(delta)
             native[c.name] = F.when(need, F.col(f"_new_{c.name}")).otherwise(F.col(c.name))
+        for delta in deltas:
+            rows = rows.join(delta, SEQ, "left")
         rows = rows.withColumns(native)
         return rows.select(*names, SEQ), T.StructType(fields), count
 

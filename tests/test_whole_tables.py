@@ -4,8 +4,14 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from colstate.operators import processors
 from colstate.plans import catalogue
+from colstate.plans.engine import Engine
+from colstate.plans.model import parse
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +33,41 @@ def test_every_repo_is_converged(spark):
     want = sorted((key, name, last[name.lower()], "people,repos") for key, name in parts.items())
     got = catalogue.QUERIES["converge_all_order_whole"](spark, SF).select("p_partkey", "cleaned_name", "linkedin_match", "run_order")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def plans_of(monkeypatch):
+    """The plans by which levels are computed from now on."""
+    plans, computed = [], Engine.computed
+
+    def noted(self, *a):
+        out = computed(self, *a)
+        plans.append(out[0]._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(Engine, "computed", noted)
+    return plans
+
+
+def test_vectors_are_computed_in_place(spark, monkeypatch):
+    """Vectors are many times their files' size, by which Spark would decide to broadcast them in a join."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(T.LongType())
+    def length(s: pd.Series) -> pd.Series:
+        seen.add(len(s))
+        return s.str.len()
+
+    monkeypatch.setitem(processors.REGISTRY, "length", processors.Processor("length", "vectorised", lambda c: length(c), T.LongType()))
+    plans = plans_of(monkeypatch)
+    raw = catalogue.raw_profiles(spark, SF)
+    n = raw.count()
+    d = catalogue.PROFILES | {"columns": [*catalogue.PROFILES["columns"], {"name": "n", "processor": "length", "derived_from": ["name"], "scaling": {"parallelism": 3}}]}
+    e = Engine(parse(d), catalogue.stored(spark, "profiles", "p_partkey", raw, ["p_partkey"]))
+    assert not e.converge().columns_failed and seen.value == n
+    e.table.append(raw.limit(7).withColumn("p_partkey", F.col("p_partkey") + 10_000_000))
+    e.table.compact(0)  # old and new rows in one fragment: just the new ones go to Python
+    e.converge()
+    assert seen.value == n + 7
+    got = e.table.read().select("p_partkey", F.size("profile_embedding"), F.col("n") == F.length("name")).collect()
+    assert len({r[0] for r in got}) == len(got) == n + 7 and {r[1:] for r in got} == {(64, True)}
+    assert len(plans) == 4 and not any("Join" in p for p in plans)
