@@ -1,5 +1,6 @@
 """Queries that take every row of their tables."""
 
+import hashlib
 import json
 import re
 
@@ -71,3 +72,14 @@ def test_vectors_are_computed_in_place(spark, monkeypatch):
     got = e.table.read().select("p_partkey", F.size("profile_embedding"), F.col("n") == F.length("name")).collect()
     assert len({r[0] for r in got}) == len(got) == n + 7 and {r[1:] for r in got} == {(64, True)}
     assert len(plans) == 4 and not any("Join" in p for p in plans)
+
+
+def test_every_part_has_its_vector(spark, monkeypatch):
+    plans = plans_of(monkeypatch)
+    texts = {r.p_partkey: r.t for r in catalogue.flagship(spark, SF).select("p_partkey", F.concat("cleaned_name", "cleaned_skills").alias("t")).collect()}
+    got = catalogue.QUERIES["mock_embedding"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        v = np.random.RandomState(int(hashlib.md5(texts[r.p_partkey].encode()).hexdigest()[:8], 16)).randn(64).astype(np.float32)
+        assert np.array_equal(np.array(r.profile_embedding, np.float32), v / np.linalg.norm(v))
+    assert plans and not any("Join" in p for p in plans)
