@@ -51,8 +51,10 @@ def cuts_of_all(streams: list[np.ndarray], mean: int = 256) -> list[list[int]]:
     """``cuts`` of each stream. They are hashed as one, with zeros between them that no window reaches across."""
     size = np.fromiter(map(len, streams), np.int64, len(streams))
     start = np.cumsum(size + WINDOW - 1) - size
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    g = np.concatenate([x for ids in streams for x in (pad, common.mix(ids.astype(np.uint64) + np.uint64(1)))] or [pad])
+    pad = np.zeros(WINDOW - 1, np.uint32)
+    g = np.concatenate([x for ids in streams for x in (pad, ids)] or [pad])
+    g = common.mix(g.astype(np.uint64) + np.uint64(1))
+    g[(np.append(0, start + size)[:-1, None] + np.arange(WINDOW - 1)).ravel()] = 0
     h = np.zeros(len(g), np.uint64)
     for k, factor in enumerate(_ROLL):
         h[k:] += g[: len(g) - k] * np.uint64(factor)

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
 
 A byte-level BPE with the usual splitting pattern encodes each piece of that pattern by itself, so
-the ids of a text are those of its pieces, in order. The library's model encodes those pieces that a worker hasn't met or has
-forgotten; texts with characters outside the blocks that the pattern below covers, or with an
+the ids of a text are those of its pieces, in order. Many texts are cut into pieces at a time, which are known by 128 bits of hash.
+The library's model encodes those pieces that a worker hasn't met or has
+forgotten; texts with characters outside the blocks whose classes are given below, or with an
 added token's string in them, are given to the library whole. Both ways give the same ids.
 """
 
@@ -17,18 +18,32 @@ import unicodedata
 import numpy as np
 
 SIMPLE = "\x00-ɏ‐-‧‰-⁞€"
-#: The splitting pattern of byte-level BPE, its classes written out for SIMPLE.
+#: The classes of the splitting pattern of byte-level BPE, written out for SIMPLE.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0   "
-_LETTER = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
-_NUMBER = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
-_PIECES = re.compile(
-    f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
-_ODD = re.compile(f"[^{SIMPLE}]")
-#: Pieces of a full memo, about 200 bytes each: 80 MB a worker.
-_MEMO_PIECES = 400_000
+_LETTERS, _NUMBERS, _OTHERS, _BLANKS, _ODD, _END = range(6)
+
+
+def _classes() -> np.ndarray:
+    """The class of each 16-bit unit; U+FFFF stands between texts."""
+    out = np.full(1 << 16, _ODD, np.uint8)
+    for c in map(ord, re.findall(f"[{SIMPLE}]", "".join(map(chr, range(0x2100))))):
+        kind = unicodedata.category(chr(c))[0] if c < 0x250 else ""
+        out[c] = _BLANKS if chr(c) in _SPACE else {"L": _LETTERS, "N": _NUMBERS}.get(kind, _OTHERS)
+    out[0xFFFF] = _END
+    return out
+
+
+_CLASS = _classes()
+#: Units of a piece that are hashed in bulk; a longer piece is hashed by itself.
+_SHORT = 64
+#: Two hashes of 64 bits know a piece: sums of a random number of each unit times a random odd one of its place.
+_RANDOM = np.random.default_rng()
+_UNIT = _RANDOM.integers(1, 1 << 64, (2, 1 << 16), np.uint64)
+_PLACE = _RANDOM.integers(1, 1 << 64, (2, _SHORT), np.uint64) | np.uint64(1)
+#: Pieces of a full memo, about 70 bytes each: 80 MB a worker.
+_MEMO_PIECES = 1_200_000
 #: Characters of texts that are cut into pieces at a time.
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 17
 
 #: The sign that byte-level BPE writes for each byte: printable ones of Latin-1 for themselves, the others numbered from U+0100.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -52,17 +67,36 @@ def version(definition_json: str) -> str:
     return hashlib.sha256(f"{tokenizers.__version__}\n{definition_json}".encode()).hexdigest()
 
 
-class _Codes(dict):
-    """Pieces by number: asking for an unknown piece gives it the next one and lists it as new."""
-
-    def __init__(self, pieces: list[str]):
-        super().__init__(zip(pieces, range(len(pieces))))
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+def _starts(u: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the pieces of units start: runs of a class, with one blank before them, and contractions."""
+    start = np.ones(len(u) + 3, bool)
+    start[1 : len(u)] = kind[1:] != kind[:-1]
+    # the last of the blanks before a word isn't with the others; a space is the word's
+    last = np.nonzero(start[1 : len(u)] & (kind[1:] <= _OTHERS) & (kind[:-1] == _BLANKS))[0]
+    start[last] = True
+    start[last[u[last] == 0x20] + 1] = False
+    mark = np.nonzero((u == 0x27) & start[: len(u)])[0]
+    if len(mark):
+        x, y = (np.append(u, np.zeros(2, u.dtype))[mark + k] for k in (1, 2))
+        one = np.isin(x, list(map(ord, "stmd")))
+        two = np.isin(x, list(map(ord, "rv"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+        for k, hit in ((2, mark[one]), (3, mark[two])):
+            start[hit + 1] = False
+            start[hit + k] = True
+    return np.nonzero(start[: len(u)])[0]
+
+
+def _hashes(u: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two hashes of each piece; the pieces are all of ``u``, one after the other."""
+    place = np.arange(len(u)) - np.repeat(start, size)
+    long = np.nonzero(size > _SHORT)[0]
+    if len(long):
+        place = np.minimum(place, _SHORT - 1)
+    out = np.stack([np.add.reduceat(_UNIT[k][u] * _PLACE[k][place], start) for k in (0, 1)])
+    for i in long.tolist():
+        d = hashlib.blake2b(u[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest()
+        out[:, i] = np.frombuffer(d, np.uint64)
+    return out
 
 
 def _grown(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -74,39 +108,85 @@ def _grown(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """The ids of pieces. When it is full, it keeps those pieces that were asked for most, more than once, since it was full last."""
+    """The ids of pieces by their hashes, in a table of open addresses. When it is full, it keeps those pieces that
+    most batches asked for, more than one, since it was full last."""
 
     def __init__(self, most: int):
         self.most = most
-        self._keep([], np.empty(0, np.int64), np.empty(0, "<u4"))
+        self._keep(np.empty((2, 0), np.uint64), np.empty(0, np.int64), np.empty(0, "<u4"))
+
+    def _keep(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        self.count, self.size, self.flat, self.ids = len(size), size.astype(np.int32), flat, len(flat)
+        self.start, self.used = np.cumsum(size) - size, np.zeros(len(size), np.int32)
+        self._table(keys, 16)
+
+    def _table(self, keys: np.ndarray, bits: int) -> None:
+        """A new table, three fifths of it full at most."""
+        while 5 * keys.shape[1] > 3 << bits:
+            bits += 1
+        self.bits, self.keys, self.codes = bits, np.zeros((2, 1 << bits), np.uint64), np.full(1 << bits, -1, np.int32)
+        self._put(keys, np.arange(keys.shape[1], dtype=np.int32))
+
+    def _known(self) -> np.ndarray:
+        """The keys of all pieces, by number."""
+        there = np.nonzero(self.codes >= 0)[0]
+        out = np.empty((2, len(there)), np.uint64)
+        out[:, self.codes[there]] = self.keys[:, there]
+        return out
 
-    def _keep(self, pieces: list[str], size: np.ndarray, flat: np.ndarray) -> None:
-        self.codes, self.size, self.flat, self.ids = _Codes(pieces), size.astype(np.int32), flat, len(flat)
-        self.start, self.used = np.cumsum(size) - size, np.zeros(len(size), np.int64)
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        at, last = self._at(keys), (1 << self.bits) - 1
+        while len(at):
+            free = self.codes[at] < 0
+            self.codes[at[free]] = codes[free]  # of several for a place, one gets it
+            got = self.codes[at] == codes
+            self.keys[:, at[got]] = keys[:, got]
+            keys, codes, at = keys[:, ~got], codes[~got], (at[~got] + 1) & last
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of pieces, -1 for unknown ones."""
+        out, todo, (a, b) = np.full(keys.shape[1], -1, np.int32), np.arange(keys.shape[1]), keys
+        at, last = self._at(keys), (1 << self.bits) - 1
+        while len(at):
+            c = self.codes[at]
+            same = (c >= 0) & (self.keys[0][at] == a) & (self.keys[1][at] == b)
+            out[todo[same]] = c[same]
+            on = (c >= 0) & ~same
+            todo, a, b, at = todo[on], a[on], b[on], (at[on] + 1) & last
+        return out
 
     def turn(self) -> None:
         """Forget pieces if there are too many of them, or long ones among them."""
-        n = len(self.codes)
+        n = self.count
         if n <= self.most and self.ids <= 8 * self.most:
             return
         often = np.nonzero((self.used[:n] > 1) & (self.size[:n] <= 16))[0]
         kept = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.most // 2]])
-        pieces, size = list(self.codes), self.size[kept].astype(np.int64)
-        self._keep([pieces[i] for i in kept.tolist()], size, self.flat[_spans(self.start[kept], size)])
+        size = self.size[kept].astype(np.int64)
+        self._keep(self._known()[:, kept], size, self.flat[_spans(self.start[kept], size)])
 
-    def find(self, pieces: list[str], encode) -> np.ndarray:
-        """The numbers of pieces; ``encode`` gives the ids of those that are new."""
+    def find(self, keys: np.ndarray, encode) -> np.ndarray:
+        """The numbers of pieces; ``encode`` gives the ids of those that are new, by their places among ``keys``."""
         self.turn()
-        had = len(self.codes)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int32, len(pieces))
-        if new := self.codes.new:
-            self.codes.new = []
-            flat, size = encode(new)
+        codes = self._look(keys)
+        new = np.nonzero(codes < 0)[0]
+        if len(new):
+            new = new[np.lexsort(keys[:, new])]
+            head = np.append(True, (keys[:, new[1:]] != keys[:, new[:-1]]).any(axis=0))
+            codes[new] = self.count + np.cumsum(head) - 1
+            new, had = new[head], self.count
+            flat, size = encode(new.tolist())
             self.start = _grown(self.start, had, self.ids + np.cumsum(size) - size)
-            self.size, self.used = _grown(self.size, had, size), _grown(self.used, had, np.zeros(len(size), np.int64))
-            self.flat, self.ids = _grown(self.flat, self.ids, flat), self.ids + len(flat)
-        asked = np.bincount(codes)
-        self.used[: len(asked)] += asked
+            self.size, self.used = _grown(self.size, had, size), _grown(self.used, had, np.zeros(len(size), np.int32))
+            self.flat, self.ids, self.count = _grown(self.flat, self.ids, flat), self.ids + len(flat), had + len(new)
+            if 5 * self.count > 3 << self.bits:
+                self._table(np.append(self._known(), keys[:, new], axis=1), self.bits)
+            else:
+                self._put(keys[:, new], codes[new])
+        self.used[codes] += 1  # once for all of its places
         return codes
 
 
@@ -138,7 +218,8 @@ class Encoder:
             and not shape["model"].get("dropout")
         )
         added = [t["content"] for t in shape.get("added_tokens") or ()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        # a text with one of these is given to the library whole, as is one with the sign between texts
+        self.added = [*added, "\uffff"]
         self.pieces = Memo(_MEMO_PIECES)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -159,20 +240,34 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        whole: dict[int, np.ndarray] = {}
-        pieces: list[str] = []
-        ends = []
-        for i, t in enumerate(texts):
-            if not self.by_piece or _ODD.search(t) or (self.added and self.added.search(t)):
-                whole[i] = self._whole(t)
-            else:
-                pieces += _PIECES.findall(t)
-            ends.append(len(pieces))
-        codes = self.pieces.find(pieces, self._encode)
+        plain = [self.by_piece and not any(x in t for x in self.added) for t in texts]
+        raw = [t.encode("utf-16-le") if p else b"" for t, p in zip(texts, plain)]
+        data, u, kind, ends = self._joined(raw)
+        if len(odd := np.nonzero(kind == _ODD)[0]):
+            for i in np.unique(np.searchsorted(ends, odd)).tolist():
+                plain[i], raw[i] = False, b""
+            data, u, kind, ends = self._joined(raw)
+        start = _starts(u, kind)
+        size = np.diff(np.append(start, len(u)))
+        keys, word = _hashes(u, start, size), kind[start] != _END
+        start, size = start[word], size[word]
+
+        def encode(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+            spans = zip((2 * start[places]).tolist(), (2 * (start + size)[places]).tolist())
+            return self._encode([data[a:b].decode("utf-16-le") for a, b in spans])
+
+        codes = self.pieces.find(keys[:, word], encode)
         size = self.pieces.size[codes]
         ids = self.pieces.flat[_spans(self.pieces.start[codes], size)]
-        cut = np.append(0, np.cumsum(size))[ends]
-        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(np.append(0, cut), cut))]
+        cut = np.append(0, np.cumsum(size))[np.searchsorted(start, ends)]
+        return [ids[a:b] if p else self._whole(t) for t, p, a, b in zip(texts, plain, np.append(0, cut), cut)]
+
+    @staticmethod
+    def _joined(raw: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts one after the other, U+FFFF before each and at the end: bytes, units, their classes, where each text ends."""
+        data = b"\xff\xff".join([b"", *raw, b""])
+        u = np.frombuffer(data, "<u2")
+        return data, u, _CLASS[u], np.cumsum(np.fromiter((len(x) // 2 + 1 for x in raw), np.int64, len(raw)))
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each has. The library's model encodes them as they come

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 import public_tokenizers
 from array import array
@@ -49,3 +51,23 @@ def test_memo_forgets():
     texts = [" ".join(f"w{(i * k) % 23}x," for i in range(30)) + "\n y" * (k % 3) for k in range(40)] + ["", "日本", "<|endoftext|>"]
     for got in (enc.batch(texts), enc.batch(texts[::-1])[::-1], [enc.batch([t])[0] for t in texts]):
         assert [g.tolist() for g in got] == [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_a_batch():
+    """Texts of one batch don't touch each other's pieces, long pieces and odd texts among them."""
+    texts = ["it's", "'s", "", " ", "a  ", "\n b", "s 'tis we'll'd'x ''s 1's", "é" * 63, "é" * 64, "é" * 65, "é" * 64 + "e", " " * 200 + "x", "日本 's", "a￿b", "😀's", "<|endoftext|>", "x" * 300, "x" * 300]
+    enc = tokenizer.Encoder(DEF)
+    for order in (texts, texts[::-1], texts * 3):
+        assert [g.tolist() for g in enc.batch(order)] == [enc.library.encode(t, add_special_tokens=False).ids for t in order]
+    assert enc.batch([]) == []
+
+
+def test_a_worker_remembers_half_a_million_pieces():
+    enc, asked = tokenizer.Encoder(DEF), []
+    plain = enc._encode
+    enc._encode = lambda pieces: asked.append(len(pieces)) or plain(pieces)
+    words = [" " + "".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 500_000)]
+    text = ["".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    first = [x.tolist() for x in enc.batch(text)]
+    assert sum(asked) == 500_000
+    assert [x.tolist() for x in enc.batch(text)] == first and sum(asked) == 500_000
