@@ -17,6 +17,8 @@ import unicodedata
 
 import numpy as np
 
+from colstate.llm import common
+
 SIMPLE = "\x00-ɏ‐-‧‰-⁞€"
 #: The classes of the splitting pattern of byte-level BPE, written out for SIMPLE.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0   "
@@ -40,8 +42,8 @@ _SHORT = 64
 _RANDOM = np.random.default_rng()
 _UNIT = _RANDOM.integers(1, 1 << 64, (2, 1 << 16), np.uint64)
 _PLACE = _RANDOM.integers(1, 1 << 64, (2, _SHORT), np.uint64) | np.uint64(1)
-#: Pieces of a full memo, about 70 bytes each: 80 MB a worker.
-_MEMO_PIECES = 1_200_000
+#: Pieces of a full memo: about 45 MB a worker. A few more than 629,000 would double the size of its table.
+_MEMO_PIECES = 600_000
 #: Characters of texts that are cut into pieces at a time.
 _BATCH_CHARS = 1 << 17
 
@@ -289,5 +291,6 @@ def encoder(key: str, definition_json: str) -> Encoder:
     """One encoder a Python worker and definition."""
     if key not in _OPEN:
         _OPEN.clear()
+        common.give_back()
         _OPEN[key] = Encoder(definition_json)
     return _OPEN[key]

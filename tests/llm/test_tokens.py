@@ -1,4 +1,6 @@
 import itertools
+import subprocess
+import sys
 
 import pytest
 import public_tokenizers
@@ -71,3 +73,29 @@ def test_a_worker_remembers_half_a_million_pieces():
     first = [x.tolist() for x in enc.batch(text)]
     assert sum(asked) == 500_000
     assert [x.tolist() for x in enc.batch(text)] == first and sum(asked) == 500_000
+
+
+_GROWTH = """
+import itertools, re, sys
+from colstate.llm import tokenizer
+
+def mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", f.read()))) / 1024
+
+enc = tokenizer.encoder("a", tokenizer.definition(sys.argv[1]))
+enc.batch(["to begin with"])
+before = most = mb()
+words = itertools.product("abcdefghijklmnop", repeat=5)
+while text := "".join(" " + "".join(w) for w in itertools.islice(words, 2_500)):
+    enc.batch([text])
+    most = max(most, mb())
+print(most - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_workers_memory_has_a_bound():
+    """The memory that 1,048,576 different words take, more than an encoder remembers."""
+    run = [sys.executable, "-c", _GROWTH, public_tokenizers.path("byte_bpe_50k.json")]
+    assert float(subprocess.run(run, capture_output=True, text=True, check=True).stdout) < 60
