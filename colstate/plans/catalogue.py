@@ -282,7 +282,7 @@ def embedding_seed(spark, sf_dir):
 def mock_embedding(spark, sf_dir):
     e = profiles(spark, sf_dir)
     e.converge()
-    return e.table.read(["p_partkey", "profile_embedding"])
+    return e.table.read_to_collect(["p_partkey", "profile_embedding"], row_bytes=4 * text.DIMENSIONS + 48)
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")

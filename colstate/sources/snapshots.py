@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEQ = "_seq"
+#: Fixed value: bytes of a partition that is to be collected. The driver gets partitions in chunks of 1 MB at most, and a heap under
+#: 2 GB gives two regions of 1 MB to each full chunk; chunks below half a region share regions.
+COLLECTED = 384 << 10
 
 
 class Conflict(RuntimeError):
@@ -125,6 +128,16 @@ class SnapshotTable:
             df = df.filter(F.expr(where) if isinstance(where, str) else where)
         return df.select(*columns) if columns else df.drop(SEQ)
 
+    def read_to_collect(self, columns: list[str], row_bytes: int) -> DataFrame:
+        """``read`` in partitions so small that a driver with a small heap can collect all of them. ``row_bytes``: of a row in
+        Spark's format. What exceeds ``spark.driver.maxResultSize`` can't be collected, and stays in the partitions of its files."""
+        v = self._need()
+        df, size = self.read_version(v), v.rows * row_bytes
+        limit = self.spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.driver.maxResultSize", "1g") or 1 << 30
+        if COLLECTED < size <= limit:
+            df = df.repartition(-(-size // COLLECTED), SEQ)
+        return df.select(*columns)
+
     def read_null_rows(self, column: str, extra: list[str] = ()) -> DataFrame:
         return self.read([column, *[c for c in extra if c != column]], F.col(column).isNull())
 

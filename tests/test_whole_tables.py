@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colstate.functions import text
 from colstate.operators import processors
 from colstate.plans import catalogue
 from colstate.plans.engine import Engine
@@ -83,3 +84,25 @@ def test_every_part_has_its_vector(spark, monkeypatch):
         v = np.random.RandomState(int(hashlib.md5(texts[r.p_partkey].encode()).hexdigest()[:8], 16)).randn(64).astype(np.float32)
         assert np.array_equal(np.array(r.profile_embedding, np.float32), v / np.linalg.norm(v))
     assert plans and not any("Join" in p for p in plans)
+
+
+def test_vectors_can_be_collected_with_a_small_heap(spark):
+    """Partitions of less than half a region of 1 MB, of which a heap under 2 GB consists."""
+    sf = "/root/testdata/sf0.1"
+    df, row = catalogue.QUERIES["mock_embedding"](spark, sf), 4 * 64 + 48
+    sizes = [r["count"] * row for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    n = catalogue.load(spark, sf, "part").count()
+    assert sum(sizes) == n * row and max(sizes) < 512 << 10
+    got = {r.p_partkey: r.profile_embedding for r in df.collect()}
+    seeds = catalogue.flagship(spark, sf).select("p_partkey", text.embedding_seed(F.col("cleaned_name"), F.col("cleaned_skills"))).collect()
+    assert len(got) == n == len(seeds)
+    for key, seed in seeds:
+        v = np.random.RandomState(seed).randn(64).astype(np.float32)
+        assert np.array_equal(np.array(got[key], np.float32), v / np.linalg.norm(v))
+
+
+def test_what_cannot_be_collected_stays_in_its_partitions(spark):
+    t = catalogue.stored(spark, "parts", "p_partkey", catalogue.load(spark, SF, "part"), ["p_partkey"])
+    as_read = t.read(["p_partkey"]).rdd.getNumPartitions()
+    at_most, above = (t.read_to_collect(["p_partkey"], n // t.count_rows()) for n in (1 << 30, (1 << 30) + 1000))
+    assert (at_most.rdd.getNumPartitions(), above.rdd.getNumPartitions()) == (-(-(1 << 30) // (384 << 10)), as_read)
