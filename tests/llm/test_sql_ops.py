@@ -50,6 +50,15 @@ def test_lines(spark):
     assert by_paragraph.where("doc_id = 2").first().n_units == 2
 
 
+def test_lines_equal_sql_on_odd_letters(spark):
+    """Capital sigma at the end of a word and capital i with a dot: each letter's lower case doesn't depend on its neighbours."""
+    texts = ["ΟΔΟΣ ΑΘΗΝΑΣ\nİZMİR", "οδοσ αθηνασ\nizmir\nown", "οδος αθηνας\ni\u0307zmi\u0307r", "Οδοσ  Αθηνασ \r\nIZMIR", "É 🇩🇪\x1cΣ\n\u00a0x", "é 🇩🇪\x1cσ\n\u00a0X"]
+    rows = [(i, t) for i, t in enumerate(texts, 1)]
+    got = spark_rows(op2_line_dedup.digests(op2_line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"))))
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    assert got == sql_rows(op2_line_dedup.ORACLE, documents=documents)
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_windows(spark, limit):
     long = "one two three four five six seven eight nine ten eleven twelve"
